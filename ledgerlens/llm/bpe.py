@@ -78,6 +78,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int):
         yield first + k, words, rows
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _check(words) -> int:
     return zlib.crc32("\0".join(words).encode())
 
@@ -87,7 +101,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     word_type = T.StructType.fromDDL("block long, word_no int, word string")
-    coded_type = T.StructType.fromDDL("block long, word_no int, ids binary")
+    coded_type = T.StructType.fromDDL("block long, crc long, nos binary, lens binary, ids binary")
     pos_type = T.StructType.fromDDL("block long, n_words int, crc long, doc_ids array<long>, counts array<int>, positions binary")
     out_type = T.StructType.fromDDL("doc_id long, ids array<int>")
     word_arrow, coded_arrow, pos_arrow, out_arrow = map(to_arrow_schema, (word_type, coded_type, pos_type, out_type))
@@ -103,44 +117,56 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -
 
     def encode(batches):
         one, last, ids = encoding(rank_file)._core_bpe.encode_single_piece, None, b""
+        blocks, nos, found, held = [], [], [], 0
+
+        def flush():
+            """What is held, as one packed row a block."""
+            block, no = np.concatenate(blocks), np.concatenate(nos)
+            order = np.lexsort((no, block))
+            block, no = block[order], no[order]
+            lens = np.fromiter(map(len, found), np.int64, len(found))[order] // 4
+            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            rows = []
+            for x, z in zip(edge[:-1], edge[1:]):
+                flat = np.frombuffer(b"".join(found[k] for k in order[x:z]), np.uint32)
+                rows.append((int(block[x]), None, _pack(np.diff(no[x:z], prepend=0)), _pack(lens[x:z]), _pack(flat)))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), coded_arrow)], schema=coded_arrow)
+
         for b in batches:
-            out = []
-            for no, word in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if no < 0:
-                    out.append(word.encode())
-                    continue
-                if word != last:  # rows are sorted by word: each distinct word once
-                    last, ids = word, np.array(one(word.encode()), np.uint32).tobytes()
-                out.append(ids)
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], schema=coded_arrow)
+            no, words, keep = b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(1).to_numpy() >= 0
+            for k in np.flatnonzero(~keep):
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=t.type) for x, t in zip((b.column(0)[int(k)].as_py(), int(words[k]), None, None, None), coded_arrow)], schema=coded_arrow)
+            for k in np.flatnonzero(keep).tolist():
+                if words[k] != last:  # rows are sorted by word: each distinct word once
+                    last, ids = words[k], np.array(one(words[k].encode()), np.uint32).tobytes()
+                found.append(ids)
+            blocks.append(b.column(0).to_numpy()[keep])
+            nos.append(no[keep])
+            held += int(keep.sum())
+            if held > 600_000:
+                yield flush()
+                blocks, nos, found, held = [], [], [], 0
+        if held:
+            yield flush()
 
     def positions(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1)
         for block, words, rows in _blocks(batches, block_chars):
             crc = _check(words)
             for i in range(0, len(rows), 2000):
                 part = rows[i : i + 2000]
                 flat = np.concatenate([p for _, p in part])
-                halves = np.concatenate(((flat & 0xFFFF).astype(np.uint16), (flat >> 16).astype(np.uint16)))
-                yield pa.RecordBatch.from_arrays([pa.array([x], type=t.type) for x, t in zip((block, len(words), crc, [d for d, _ in part], [len(p) for _, p in part], pack.compress(halves.tobytes())), pos_arrow)], schema=pos_arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=t.type) for x, t in zip((block, len(words), crc, [d for d, _ in part], [len(p) for _, p in part], _pack(flat)), pos_arrow)], schema=pos_arrow)
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
         nos, lens, data, crc = [], [], [], None
         for b in right.to_batches():
-            no, size = b.column("word_no").to_numpy(), np.array([len(x) for x in b.column("ids").to_pylist()], np.int64)
-            rows = b.column("ids").to_pylist()
-            for k in np.flatnonzero(no < 0):
-                crc = int(rows[k])
-            keep = no >= 0
-            nos.append(no[keep])
-            lens.append(size[keep] // 4)
-            data.append(np.frombuffer(b"".join(r for r, ok in zip(rows, keep) if ok), np.uint32))
+            for c, no, n, ids in zip(*(b.column(x).to_pylist() for x in ("crc", "nos", "lens", "ids"))):
+                if c is not None:
+                    crc = c
+                else:
+                    nos.append(np.cumsum(_unpack(no), dtype=np.int64))
+                    lens.append(_unpack(n).astype(np.int64))
+                    data.append(_unpack(ids))
         no, n, data = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nos, lens, data))
         begin = np.cumsum(n) - n
         order = np.argsort(no, kind="stable")
@@ -150,8 +176,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -
             for words, want, doc_ids, counts, packed in zip(*(b.column(c).to_pylist() for c in ("n_words", "crc", "doc_ids", "counts", "positions"))):
                 if crc != want or len(n) != words:
                     raise RuntimeError(f"block {key}: the two readings of the input disagree")
-                halves = np.frombuffer(unpack.decompress(packed), np.uint16)
-                pos = halves[: len(halves) // 2].astype(np.int64) | halves[len(halves) // 2 :].astype(np.int64) << 16
+                pos = _unpack(packed).astype(np.int64)
                 size = n[pos] if len(pos) else np.zeros(0, np.int64)
                 upto = np.cumsum(size)
                 at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[pos] - (upto - size), size)
