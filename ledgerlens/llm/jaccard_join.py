@@ -30,7 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import map_batches, ship
@@ -205,5 +205,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of documents with one document of each component: its smallest doc_id, one row of it.
     Rows without an id stay, as nothing is known to link with them."""
     mine = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(mine, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # in the join's own order: no further sort
+    known = docs.where("doc_id is not null").join(mine, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1").select(*docs.columns)
     return known.unionByName(docs.where("doc_id is null"))
