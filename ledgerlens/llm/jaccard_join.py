@@ -9,10 +9,13 @@ Two documents link when 100 * |x & y| >= 85 * |x | y| over their sets of distinc
    (by the logarithm of a hashed count over all documents; the table of counts has a fixed size).
    These first shingles are the keys of the inverted lists; passages that very many documents share
    end up in almost none. The order only decides the work, never the result.
-3. In each list, all members are first held against the list's smallest one. The components of the
-   links found make most pairs moot: only pairs of one list in different components are left, and
-   these are held against one another, all of them. So a group of many near copies takes a number of
-   comparisons in proportion to its size, and no pair that could join two components is left out.
+   A pair is only looked at where the place of the shared shingle in either set leaves room for the
+   overlap that their sizes demand.
+3. In each list, all members are first held against the one that has the shared shingle earliest (it has
+   the fewest shingles of its own). The components of the links found make most pairs moot: only pairs
+   of one list in different components are left, and these are held against one another, all of them.
+   So a group of many near copies takes a number of comparisons in proportion to its size, and no pair
+   that could join two components is left out.
 4. Comparing is a T-occurrence search: a query's shingles are the keys of inverted lists over a block
    of its candidates; DivideSkip heap-merges the short lists, probes the long ones by binary search
    for what reached T - L, and keeps what reaches the overlap its size demands.
@@ -168,6 +171,13 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _may_link(n: str, i: str, m: str, j: str):
+    """Whether sets of n and m whose first common shingle stands at places i and j can link: they must share
+    T = ceil(85 (n + m) / 185), so neither can hold more than n - T before it."""
+    t = F.floor((F.lit(PERCENT) * (F.col(n) + F.col(m)) + (99 + PERCENT)) / (100 + PERCENT))
+    return (F.col(i) <= F.col(n) - t) & (F.col(j) <= F.col(m) - t)
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents."""
     spark = docs.sparkSession
@@ -177,21 +187,20 @@ def join_components(docs: DataFrame) -> DataFrame:
     keyed = s.keep(_keys(docs, _levels(docs)))
     same = ["n", "f1", "f2"]
     reps = keyed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    posted = reps.select("rep", "n", F.explode("keys").alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("head")).where("size > 1")
-    multi = s.keep(posted.join(lists.select("key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "key"))
+    posted = reps.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("pos", "rep", "n")).alias("head")).where("size > 1")
+    multi = s.keep(posted.join(lists.select("key", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")), "key"))
     texts = s.keep(docs.where("doc_id is not null").join(multi.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
-    heads = s.keep(multi.where((F.col("rep") != F.col("head")) & fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
+    heads = s.keep(multi.where((F.col("rep") != F.col("head")) & _may_link("n", "pos", "head_n", "head_pos")).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
     links = s.keep(_compare(heads, texts))
     of = components(links, s)
-    placed = multi.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = multi.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
     open_ = s.keep(placed.join(split, "key"))
     sides = open_.select("key", F.col("c").alias("d")).distinct()
-    left = open_.join(sides, "key").where("c < d").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), "d")
-    right = open_.select("key", F.col("c").alias("d"), F.col("rep").alias("y"), F.col("n").alias("yn"))
-    cross = left.join(right, ["key", "d"]).where(fits(F.col("xn"), F.col("yn"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = open_.join(sides, "key").where("c < d").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "d")
+    right = open_.select("key", F.col("c").alias("d"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
+    cross = left.join(right, ["key", "d"]).where(_may_link("xn", "xp", "yn", "yp")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = s.keep(_compare(cross.join(heads, ["a", "b"], "left_anti"), texts))
     every = s.keep(links.unionByName(more))
     of = components(every, s)
