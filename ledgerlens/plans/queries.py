@@ -25,7 +25,9 @@ def query(sql: str | None = None):
     return keep
 
 
-_anchor = F.lit(ANCHOR).cast("date")
+def _anchor():
+    return F.lit(ANCHOR).cast("date")
+
 _M = lambda x: f"CAST(COALESCE(SUM(CAST({x} AS DECIMAL(18,2))), 0) AS DOUBLE)"
 _BOUNDS = "DATE '1997-12-01' b1, DATE '1997-07-01' b6, DATE '1997-01-01' b12, DATE '1995-01-01' b36"
 _BAND = f"""WITH p AS (SELECT o_orderkey row_no, CAST(o_orderdate AS DATE) d, o_totalprice amount, {_BOUNDS} FROM orders),
@@ -38,13 +40,13 @@ _BAND = f"""WITH p AS (SELECT o_orderkey row_no, CAST(o_orderdate AS DATE) d, o_
 @query(_BAND + """SELECT band, CASE band WHEN 'after' THEN '61.3-2/61.2' WHEN '1m' THEN '61.3-2' WHEN '6m' THEN '61.3-3' WHEN '1y' THEN '61.2-1' WHEN '3y' THEN '61.2-2' ELSE '10/168' END article,
  CAST(depth AS INT) AS depth, n, CAST(t AS DOUBLE) AS total FROM b""")
 def pay_bands(spark, d):
-    return payments.by_band(payments.classify(A.payments(spark, d), _anchor), [])
+    return payments.by_band(payments.classify(A.payments(spark, d), _anchor()), [])
 
 
 @query(_BAND + """SELECT CAST(SUM(b.n) AS BIGINT) n, CAST(SUM(b.t) AS DOUBLE) total, k.period FROM (VALUES (1, '1m'), (2, '6m'), (3, '1y'), (4, '3y')) k(w, period)
  JOIN b ON b.depth <= k.w GROUP BY k.period""")
 def pay_cumulative(spark, d):
-    return payments.cumulative(payments.by_band(payments.classify(A.payments(spark, d), _anchor), []), [])
+    return payments.cumulative(payments.by_band(payments.classify(A.payments(spark, d), _anchor()), []), [])
 
 
 @query(f"""SELECT o_orderkey AS row_no, o_custkey AS party, CAST(o_orderdate AS DATE) AS date, o_totalprice AS amount, k.bound, k.bd AS bound_date,
@@ -52,12 +54,12 @@ def pay_cumulative(spark, d):
  (VALUES ('1m', DATE '1997-12-01'), ('6m', DATE '1997-07-01'), ('1y', DATE '1997-01-01'), ('3y', DATE '1995-01-01')) k(bound, bd)
  WHERE ABS(date_diff('day', k.bd, CAST(o_orderdate AS DATE))) <= 5""")
 def pay_near_border(spark, d):
-    return payments.near_border(A.payments(spark, d), _anchor)
+    return payments.near_border(A.payments(spark, d), _anchor())
 
 
 @query(_BAND + "SELECT CAST(SUM(n) AS BIGINT) n, CAST(SUM(t) AS DOUBLE) total FROM b WHERE band IN ('after', '1m')")
 def pay_easiest(spark, d):
-    return payments.easiest(payments.by_band(payments.classify(A.payments(spark, d), _anchor), []), [])
+    return payments.easiest(payments.by_band(payments.classify(A.payments(spark, d), _anchor()), []), [])
 
 
 @query("""SELECT CAST(c_nationkey AS VARCHAR) AS inn, COUNT(DISTINCT c_mktsegment) AS n_names, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS names
@@ -420,28 +422,31 @@ def _tier_sql(x: str, tiers, cap: float) -> str:
 
 _P = "(o_totalprice * 50)"
 _ARB, _GEN = _tier_sql(_P, rules.ARBITRATION, rules.ARBITRATION_CAP), _tier_sql(_P, rules.GENERAL, rules.GENERAL_CAP)
-_price = F.col("o_totalprice") * 50
+
+
+def _price():
+    return F.col("o_totalprice") * 50
 
 
 @query(f"SELECT o_orderkey, {_ARB} AS fee, GREATEST({_cents(_ARB + " * 0.5::DOUBLE")}, 8000.0::DOUBLE) AS order_fee FROM orders")
 def fee_arbitration(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", rules.arbitration_fee(_price).alias("fee"), rules.order_fee(_price).alias("order_fee"))
+    return read(spark, d, "orders").select("o_orderkey", rules.arbitration_fee(_price()).alias("fee"), rules.order_fee(_price()).alias("order_fee"))
 
 
 @query(f"SELECT o_orderkey, {_GEN} AS fee FROM orders")
 def fee_general(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", rules.general_fee(_price).alias("fee"))
+    return read(spark, d, "orders").select("o_orderkey", rules.general_fee(_price()).alias("fee"))
 
 
 @query(f"SELECT o_orderkey, {_cents("GREATEST(0.0::DOUBLE, " + _GEN + " - 25000.0::DOUBLE)")} AS fee FROM orders")
 def fee_relief(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", rules.relieved_fee(_price).alias("fee"))
+    return read(spark, d, "orders").select("o_orderkey", rules.relieved_fee(_price()).alias("fee"))
 
 
 @query("SELECT o_orderkey, " + _cents(f"CASE WHEN o_orderpriority = '1-URGENT' THEN 0.0::DOUBLE ELSE {_ARB} * (CASE o_orderstatus WHEN 'O' THEN 0.7 WHEN 'F' THEN 0.5 ELSE 0.3 END)::DOUBLE END") + " AS refund FROM orders")
 def fee_refund(spark, d):
     stage = F.when(F.col("o_orderstatus") == "O", "first").when(F.col("o_orderstatus") == "F", "appeal").otherwise("cassation")
-    return read(spark, d, "orders").select("o_orderkey", rules.refund(rules.arbitration_fee(_price), stage, F.col("o_orderpriority") == "1-URGENT").alias("refund"))
+    return read(spark, d, "orders").select("o_orderkey", rules.refund(rules.arbitration_fee(_price()), stage, F.col("o_orderpriority") == "1-URGENT").alias("refund"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN a <= CASE WHEN m THEN 100000 WHEN court = 'arbitration' THEN 750000 ELSE 500000 END THEN 'order' WHEN a <= CASE WHEN court = 'general' THEN 250000 WHEN debtor = 'entity' THEN 1200000 ELSE 600000 END THEN 'simplified' ELSE 'general' END AS kind
