@@ -6,7 +6,8 @@
    A^T A Q) gives the passages' leading right singular vectors, the latent space.
 3. Every document is cut into the same windows; a window's vector is folded into the latent space, and
    its cosine with all passages comes from one matrix product. A cosine of ``cosine`` or more makes
-   a candidate.
+   a candidate, if the window also holds ``share`` of the passage's weight; windows whose own words do
+   not weigh that much are told before any vector is made.
 4. A candidate is checked in the document's own words around the window: the longest common
    subsequence with the whole item must cover ``cover`` of it; or, for paraphrases, ``loose`` of it if the
    item's answer (its last sentence) is there too, in order.
@@ -34,13 +35,13 @@ from .shingles import in_batches, word_hashes
 
 WINDOW, HALF, LEAST_WORDS = 32, 16, 8
 OUTPUT = "doc_id long, item_id long, cosine double, shared int, item_words int, coverage double, answer boolean, start_word int"
-_SIGNS = {i: " " for i in range(128) if not chr(i).isalnum()}
+_SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, number of its text) of all words: lower case, ASCII signs as blanks."""
-    return word_hashes([(t or "").lower().translate(_SIGNS).encode() for t in texts])
+    return word_hashes([(t or "").lower().encode() for t in texts], _SIGNS)
 
 
 def _in(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -86,11 +87,10 @@ def _rows(hashes: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray):
     """Of one item: for each passage (terms, weights)."""
     v = _in(vocabulary, hashes)
     for a, z in _windows(len(v)):
-        t, n = np.unique(v[a * HALF : z * HALF], return_counts=True)
-        t, n = t[t >= 0], n[t >= 0]
-        w = n * idf[t]
-        if (w > 0).any():
-            yield t, w / np.sqrt((w * w).sum())
+        t = np.unique(v[a * HALF : z * HALF])
+        t = t[t >= 0]
+        if (idf[t] > 0).any():
+            yield t, idf[t]
 
 
 def _summed(items: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
@@ -170,26 +170,30 @@ def longest_common(places: dict[int, list[int]], region: list[int]) -> tuple[int
     return len(tails), out[::-1]
 
 
-def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, cosine: float, cover: float, loose: float) -> DataFrame:
+def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, cosine: float, share: float, cover: float, loose: float) -> DataFrame:
     spark = docs.sparkSession
     space, _ = randomised_svd(items, vocabulary, idf, rank)
     fold = (space * idf[:, None]).astype(np.float32)
     rows = items.collect()  # at most slice_items short texts
     item_words = [words([r.text])[0] for r in rows]
-    passages, owner = [], []
+    passages, owner, weight = [], [], []
     for i, h in enumerate(item_words):
         for t, w in _rows(h, vocabulary, idf):
             passages.append((w @ space[t]).astype(np.float32))
             owner.append(i)
+            weight.append(w @ w)
     if not passages:
         return spark.createDataFrame([], OUTPUT)
     p = np.stack(passages)
-    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+    length = np.maximum(np.linalg.norm(p, axis=1), 1e-9)
+    p /= length[:, None]
+    floor = (share * np.array(weight) / length).astype(np.float32)
+    square, enough = (idf * idf).astype(np.float32), share * min(weight)
     answers = [len(words([_SENTENCE.split(r.text.strip())[-1]])[0]) if r.text else 0 for r in rows]
-    model = spark.sparkContext.broadcast((vocabulary, fold, p, np.array(owner), [r.item_id for r in rows], item_words, answers))
+    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, floor, np.array(owner), [r.item_id for r in rows], item_words, answers))
 
     def make():
-        vocabulary, fold, p, owner, ids, item_words, answers = model.value
+        vocabulary, fold, square, enough, p, floor, owner, ids, item_words, answers = model.value
         places = []
         for h in item_words:
             d: dict = {}
@@ -220,18 +224,31 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                 if not len(at):
                     continue
                 cell = base[of[at]] + (at - first[of[at]]) // HALF
-                edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-                latent = np.zeros((int(halves.sum()), fold.shape[1]), np.float32)
-                latent[cell[edge]] = np.add.reduceat(fold[v[at]], edge, axis=0)
+                mass = np.bincount(cell, weights=square[v[at]], minlength=int(halves.sum()))
                 doc = np.repeat(np.arange(y - x), halves)
                 pair = np.concatenate((doc[1:] == doc[:-1], [False]))
-                single = np.repeat(halves == 1, halves)
-                windows = np.flatnonzero(pair | single)
-                vector = latent[windows]
+                mass[pair] += mass[np.flatnonzero(pair) + 1]
+                # a window shares at most its own mass with a passage; where that is too little, no vector is made
+                windows = np.flatnonzero((pair | np.repeat(halves == 1, halves)) & (mass >= enough))
+                if not len(windows):
+                    continue
+                need = np.zeros(len(doc), bool)
+                need[windows] = True
+                need[windows[pair[windows]] + 1] = True
+                at = at[need[cell]]
+                cell = (np.cumsum(need) - 1)[base[of[at]] + (at - first[of[at]]) // HALF]
+                latent = np.zeros((int(need.sum()), fold.shape[1]), np.float32)
+                for a in range(0, len(at), 4_000):
+                    c = cell[a : a + 4_000]
+                    edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                    latent[c[edge]] += np.add.reduceat(fold[v[at[a : a + 4_000]]], edge, axis=0)
+                place = np.cumsum(need) - 1
+                vector = latent[place[windows]]
                 two = pair[windows]
-                vector[two] += latent[windows[two] + 1]
-                vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
+                vector[two] += latent[place[windows[two] + 1]]
                 s = vector @ p.T
+                s[s < floor] = 0
+                s /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
                 best: dict = {}
                 for w, k in zip(*np.nonzero(s >= cosine)):
                     c = int(windows[w])
@@ -248,7 +265,7 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), OUTPUT, make)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.4, cover: float = 0.6, loose: float = 0.45, slice_items: int = 4_096) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.25, cover: float = 0.6, loose: float = 0.45, slice_items: int = 4_096) -> DataFrame:
     """OUTPUT: a row for each row of documents and item that leaks into it."""
     spark = docs.sparkSession
     ship(spark)
@@ -262,7 +279,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: f
             continue
         df, n = document_counts(docs, vocabulary)
         idf = np.log((n + 1) / (df + 0.5)).clip(0)
-        found = _slice_leaks(docs, part, vocabulary, idf, rank, cosine, cover, loose)
+        found = _slice_leaks(docs, part, vocabulary, idf, rank, cosine, share, cover, loose)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], OUTPUT)
 
