@@ -33,11 +33,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of its text): words are what ASCII white space leaves, A-Z as a-z."""
+def word_hashes(raw: list[bytes], apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of its text): words are what the bytes marked in `apart` leave (ASCII
+    white space), A-Z as a-z."""
     joined = b" ".join(x.lower() for x in raw) + b" "
     data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
+    space = apart[data]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
     begin, end = edge[::2], edge[1::2]
     up, back = _powers(len(data) + 1)
@@ -53,11 +54,10 @@ def shingle_sets(texts: list[str], width: int = 4) -> list[np.ndarray]:
     sequence is one; no words: empty."""
     out: list[np.ndarray] = []
     group, size = [], 0
-    for t in [*texts, None]:
-        if t is not None:
-            group.append((t or "").encode())
-            size += len(group[-1])
-        if group and (t is None or size > 4_000_000):
+    for i, t in enumerate(texts):
+        group.append((t or "").encode())
+        size += len(group[-1])
+        if i == len(texts) - 1 or size > 4_000_000:
             h, of = word_hashes(group)
             n = np.bincount(of, minlength=len(group))
             first = np.cumsum(n) - n
