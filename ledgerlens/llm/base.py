@@ -62,17 +62,24 @@ def learnable(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % FOLDS != 0
 
 
+def slices(b: pa.RecordBatch, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes, so that what Python holds of it at once stays small."""
+    rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
+    for a in range(0, b.num_rows, rows):
+        yield b.slice(a, rows)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
     """mapInArrow with a factory: make() runs once per task, its result maps a RecordBatch
-    to a list of column values (or None for no rows)."""
+    to a list of column values (or None for no rows). Batches are worked through in slices."""
     ship(df.sparkSession)
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 cols = f(b)
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)

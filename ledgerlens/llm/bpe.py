@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import map_batches, ship
+from .base import map_batches, ship, slices
 from .pretokens import pieces
 
 
@@ -66,7 +66,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int):
     ctx = TaskContext.get()
     first, k = (ctx.partitionId() if ctx else 0) << 32, 0
     words, rows, size = _Numbered(), [], 0
-    for b in batches:
+    for b in (x for whole in batches for x in slices(whole)):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             p = pieces(text or "")
             rows.append((doc, np.fromiter(map(words.__getitem__, p), np.uint32, len(p))))
@@ -96,7 +96,7 @@ def _check(words) -> int:
     return zlib.crc32("\0".join(words).encode())
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 12_000_000) -> DataFrame:
     """(doc_id long, ids array<int>) for each row of documents."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -143,7 +143,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -
             blocks.append(b.column(0).to_numpy()[keep])
             nos.append(no[keep])
             held += int(keep.sum())
-            if held > 600_000:
+            if held > 300_000:
                 yield flush()
                 blocks, nos, found, held = [], [], [], 0
         if held:
@@ -152,8 +152,8 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 16_000_000) -
     def positions(batches):
         for block, words, rows in _blocks(batches, block_chars):
             crc = _check(words)
-            for i in range(0, len(rows), 2000):
-                part = rows[i : i + 2000]
+            for i in range(0, len(rows), 500):
+                part = rows[i : i + 500]
                 flat = np.concatenate([p for _, p in part])
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=t.type) for x, t in zip((block, len(words), crc, [d for d, _ in part], [len(p) for _, p in part], _pack(flat)), pos_arrow)], schema=pos_arrow)
 
@@ -219,7 +219,7 @@ def bpe_digests(encoded: DataFrame, rank_file: str) -> DataFrame:
 
         def f(b):
             n, ids, out = [], [], []
-            flat, off = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
+            flat, off = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()  # offsets of a slice point into the whole
             for a, z in zip(off[:-1], off[1:]):
                 x = flat[a:z].tolist()
                 n.append(len(x))

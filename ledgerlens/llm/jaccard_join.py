@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import map_batches, ship
+from .base import map_batches, ship, slices
 from .graph import components
 from .scratch import Scratch
 from .shingles import in_batches, mix, shingle_sets
@@ -84,7 +84,7 @@ def _levels(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << SLOTS, np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             texts = b.column(0).to_pylist()
             for x, y in in_batches(texts):
                 sets = shingle_sets(texts[x:y], WIDTH)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_batches, ship
+from .base import map_batches, ship, slices
 from .shingles import in_batches, word_hashes
 
 WINDOW, HALF, LEAST_WORDS = 32, 16, 8
@@ -54,8 +54,8 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray
     size = len(vocabulary)
 
     def run(batches):
-        df, n = np.zeros(size + 1, np.int64), 0
-        for b in batches:
+        df = np.zeros(size + 1, np.int64)
+        for b in (x for whole in batches for x in slices(whole)):
             texts = b.column(0).to_pylist()
             for x, y in in_batches(texts, 1_000_000):
                 h, of = words(texts[x:y])

@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str], width: int = 4) -> list[np.ndarray]:
     for i, t in enumerate(texts):
         group.append((t or "").encode())
         size += len(group[-1])
-        if i == len(texts) - 1 or size > 4_000_000:
+        if i == len(texts) - 1 or size > 1_000_000:
             h, of = word_hashes(group)
             n = np.bincount(of, minlength=len(group))
             first = np.cumsum(n) - n
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[str], width: int = 4) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def in_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters."""
     a = size = 0
     for i, t in enumerate(texts):
