@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators import debt, payments, reconcile, register, rules, statement, text
+from ledgerlens.operators import debt, payments, reconcile, register, rules, statement, text, triage
 from ledgerlens.sources import html as html_source
 
 from . import adapters as A
@@ -476,3 +476,70 @@ def norm_polarity_pairs(spark, d):
     """Fragments in the language of norms, made from line items: both sides of some norms."""
     li = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("frag_id"), F.concat(F.lit("По п. "), (F.col("l_partkey") % 700).cast("string"), F.lit(" ст. "), (F.col("l_suppkey") % 90).cast("string"), F.lit(" кредитор "), F.when(F.col("l_returnflag") == "R", "не вправе").otherwise("вправе"), F.lit(" требовать")).alias("text"))
     return text.contradictions(li)
+
+
+# --- ingest
+
+@query("""SELECT k, COUNT(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'pages' WHEN 2 THEN 'image' WHEN 3 THEN 'refused' ELSE 'unknown' END AS k FROM documents) GROUP BY k""")
+def file_kinds(spark, d):
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("a/b.XLSX", "c.pdf", "d.jpeg", "e.rtf", "noext")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return read(spark, d, "documents").select(triage.file_kind(suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+_PAGES = """SELECT doc_id, p AS page, CASE WHEN (doc_id + p) % 3 = 0 THEN '' ELSE text END AS text, (doc_id + p) % 2 = 0 AS has_images FROM documents, (SELECT UNNEST(range(1, 41)) AS p) WHERE doc_id % 50 = 0"""
+
+
+@query(f"""WITH s AS (SELECT doc_id, page, length(trim(text, ' ')) < 40 AND has_images AS need FROM ({_PAGES})), g AS (SELECT doc_id, COUNT(*) AS n_pages, list(page ORDER BY page) FILTER (need) AS need FROM s GROUP BY doc_id)
+ SELECT doc_id, n_pages, CAST(COALESCE(len(need), 0) AS INT) AS n_need, CASE WHEN len(need) > 5 THEN array_to_string(list_concat(need[1:3], need[-1:]), ',') ELSE COALESCE(array_to_string(need, ','), '') END AS look_at, COALESCE(len(need), 0) > 5 AS structural FROM g""")
+def vision_directives(spark, d):
+    t = read(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("page"))
+    k = F.col("doc_id") + F.col("page")
+    pages = t.select("doc_id", "page", F.when(k % 3 == 0, "").otherwise(F.col("text")).alias("text"), (k % 2 == 0).alias("has_images"))
+    return triage.vision_pages(pages, "doc_id", limit=5, head=3).withColumn("look_at", F.array_join(F.transform("look_at", lambda x: x.cast("string")), ","))
+
+
+@query("""SELECT w.k, CASE WHEN c.n IS NULL THEN NULL WHEN c.gone OR c.n > 1 THEN NULL ELSE c.url END AS url, CASE WHEN c.n IS NULL THEN 'missing' WHEN c.gone THEN 'repealed' WHEN c.n > 1 THEN 'ambiguous' ELSE 'found' END AS state
+ FROM (SELECT p_partkey AS k FROM part) w LEFT JOIN (SELECT page_id * 2 - (CASE WHEN page_id % 10 = 0 THEN 2 ELSE 0 END) AS k, COUNT(*) AS n, MIN(url) AS url, bool_or(page_id % 7 = 0) AS gone FROM pages GROUP BY 1) c ON w.k = c.k""")
+def contents_resolve(spark, d):
+    w = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    c = read(spark, d, "pages").select((F.col("page_id") * 2 - F.when(F.col("page_id") % 10 == 0, 2).otherwise(0)).alias("k"), "url", F.when(F.col("page_id") % 7 == 0, "Утратила силу").otherwise("Статья").alias("title"))
+    return triage.resolve_contents(w, c, "k")
+
+
+@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_orderstatus AS relation, o_orderpriority AS doc_type, [o_custkey % 400, o_orderkey % 300 + 1000] AS norms FROM orders WHERE o_orderkey % 10 = 0),
+ s AS (SELECT s_suppkey AS sample_id, CASE s_suppkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END AS relation, '1-URGENT' AS doc_type, [s_suppkey * 3, s_suppkey + 1000] AS norms FROM supplier),
+ o AS (SELECT doc_id, sample_id, COUNT(*) AS shared FROM (SELECT doc_id, UNNEST(norms) AS n FROM d) a JOIN (SELECT sample_id, UNNEST(norms) AS n FROM s) b USING (n) GROUP BY 1, 2)
+ SELECT doc_id, sample_id, shared, 'norms' AS via FROM o UNION ALL SELECT d.doc_id, s.sample_id, 0, 'type' FROM d JOIN s ON d.relation = s.relation AND d.doc_type = s.doc_type WHERE d.doc_id NOT IN (SELECT doc_id FROM o)""")
+def sample_match(spark, d):
+    o = read(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("relation"), F.col("o_orderpriority").alias("doc_type"), F.array(F.col("o_custkey") % 400, F.col("o_orderkey") % 300 + 1000).alias("norms"))
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").select(k.alias("sample_id"), F.when(k % 3 == 0, "O").when(k % 3 == 1, "F").otherwise("P").alias("relation"), F.lit("1-URGENT").alias("doc_type"), F.array(k * 3, k + 1000).alias("norms"))
+    return triage.matching_samples(o, s)
+
+
+@query("""SELECT COALESCE(a.n, b.n) AS node, a.c AS ours, b.c AS theirs, CASE WHEN b.c IS NULL THEN 'unopposed' WHEN a.c IS NULL THEN 'unanswered' ELSE 'met' END AS state
+ FROM (SELECT c_nationkey AS n, COUNT(*) AS c FROM customer WHERE c_nationkey < 20 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS n, COUNT(*) AS c FROM supplier WHERE s_nationkey > 4 GROUP BY 1) b ON a.n = b.n""")
+def arguments_aligned(spark, d):
+    a = read(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("node"))
+    return triage.aligned(a, read(spark, d, "supplier").where("s_nationkey > 4").select(F.col("s_nationkey").alias("node")), "node")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def retractions_filter(spark, d):
+    ledger = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return reconcile.retracted(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ledger, "o_custkey")
+
+
+@query("SELECT a.k, a.h FROM (SELECT doc_id AS k, sha256(text) AS h FROM documents) a LEFT JOIN (SELECT doc_id AS k, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 13 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
+def delta_refresh(spark, d):
+    t = read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("h"))
+    return reconcile.delta(t, t.where("k % 13 <> 0").withColumn("h", F.when(F.col("k") % 9 == 0, "x").otherwise(F.col("h"))), "k", "h")
+
+
+@query()
+def sheet_findings(spark, d):
+    """Findings of the payments profile over orders laid out as one sheet a priority."""
+    from . import profiles
+
+    o = read(spark, d, "orders").select(F.lit("orders.xlsx").alias("file"), F.col("o_orderpriority").alias("sheet"), (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.format_string("77%08d", F.col("o_custkey") % 900), F.format_string("%.2f", "o_totalprice")).alias("cells"))
+    return profiles.analyze(o, ["Дата", "Контрагент", "ИНН", "Сумма"], "payments", anchor=ANCHOR).select("file", "sheet", "code", "severity", "message", F.to_json("cells").alias("cells"), F.to_json("numbers").alias("numbers"))
