@@ -132,9 +132,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, codebooks: int = 32,
                 total = table[0][columns[0]]
                 for j in range(1, codebooks):
                     total += table[j].take(columns[j])
-                top = np.argpartition(total, len(vid) - take)[-take:] if take < len(vid) else np.arange(len(vid))
+                # all that equal the last one kept stay too, so that ties are told by the exact score and the id
+                top = np.flatnonzero(total >= np.partition(total, len(vid) - take)[len(vid) - take])
                 top = top[vid[top] != qid[i]]
-                score = v[top] @ q[i]
+                score = (v[top] * q[i]).sum(axis=1)  # each row is added up alike: equal vectors have equal bits
                 best = np.lexsort((vid[top], -score))[:k]
                 a.append(np.full(len(best), qid[i]))
                 b.append(vid[top[best]])

@@ -173,6 +173,9 @@ def test_ann_recall_and_odd_vectors(spark):
         assert all(abs(m[2] - s[q, m[1]]) < 1e-9 for m in mine)
         hit += len({m[1] for m in mine} & set(sorted((i for i in range(900) if i != q), key=lambda i: (-s[q, i], i))[:20]))
     assert {g.query_id for g in got} == set(range(0, 900, 20)) and hit >= 0.9 * 45 * 20
+    same = [(i, [float(v) for v in x[7]]) for i in range(700)] + [(i, [float(v) for v in x[i]]) for i in range(700, 800)]
+    tied = additive_ann.search(spark.createDataFrame(same, "vec_id long, embedding array<float>"), codebooks=4, words=16, rerank=50, block=200).where("query_id = 20").orderBy("rank").collect()
+    assert [g.vec_id for g in tied] == [i for i in range(21) if i != 20]
     few = additive_ann.search(df.where("vec_id < 10"), codebooks=4, words=16).collect()
     assert [g.vec_id for g in few] == sorted(range(1, 10), key=lambda i: (-s[0, i], i))
     assert additive_ann.search(df.limit(0)).count() == 0
