@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from fnmatch import fnmatch
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -150,8 +151,21 @@ def parse(path: str, data: bytes) -> Iterator[tuple]:
         yield None, None, None, None, f"corrupt: {type(e).__name__}"
 
 
-def read_tables(spark: SparkSession, path: str, glob: str = "*", prune: str | None = None) -> DataFrame:
-    """SHEET rows of all files under a path. prune: a pattern of paths to leave out."""
+def empty_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """SHEET rows for files without content, which Spark's file sources do not list."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    names = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and fnmatch(f.getPath().getName(), glob):
+            names.append((f.getPath().toString(), None, None, None, None, "empty"))
+    return spark.createDataFrame(names, SHEET)
+
+
+def read_tables(spark: SparkSession, path: str, glob: str = "*", prune: str | None = None, report_empty: bool = True) -> DataFrame:
+    """SHEET rows of all files under a path. prune: a pattern of paths to leave out. report_empty lists the
+    folder once more for files without content, so that none goes unsaid."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     if prune:
         files = files.where(~F.col("path").rlike(prune))
@@ -168,7 +182,11 @@ def read_tables(spark: SparkSession, path: str, glob: str = "*", prune: str | No
                 if rows:
                     yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells", "stale_formulas", "error"])
 
-    return files.select("path", "content").mapInPandas(run, SHEET)
+    rows = files.select("path", "content").mapInPandas(run, SHEET)
+    if not report_empty:
+        return rows
+    none = empty_files(spark, path, glob)
+    return rows.unionByName(none.where(~F.col("file").rlike(prune)) if prune else none)
 
 
 def header_rows(sheets: DataFrame, look: int = 20) -> DataFrame:
