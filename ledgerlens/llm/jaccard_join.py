@@ -171,11 +171,12 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _may_link(n: str, i: str, m: str, j: str):
+def _may_link(n, i, m, j):
     """Whether sets of n and m whose first common shingle stands at places i and j can link: they must share
     T = ceil(85 (n + m) / 185), so neither can hold more than n - T before it."""
-    t = F.floor((F.lit(PERCENT) * (F.col(n) + F.col(m)) + (99 + PERCENT)) / (100 + PERCENT))
-    return (F.col(i) <= F.col(n) - t) & (F.col(j) <= F.col(m) - t)
+    n, i, m, j = (F.col(c) if isinstance(c, str) else c for c in (n, i, m, j))
+    t = F.floor((F.lit(PERCENT) * (n + m) + (99 + PERCENT)) / (100 + PERCENT))
+    return (i <= n - t) & (j <= m - t)
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -197,10 +198,12 @@ def join_components(docs: DataFrame) -> DataFrame:
     placed = multi.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
     open_ = s.keep(placed.join(split, "key"))
-    sides = open_.select("key", F.col("c").alias("d")).distinct()
-    left = open_.join(sides, "key").where("c < d").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), "d")
-    right = open_.select("key", F.col("c").alias("d"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
-    cross = left.join(right, ["key", "d"]).where(_may_link("xn", "xp", "yn", "yp")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # of a list only members that fit the size and place of some other stay, then pairs that fit one another
+    shapes = open_.groupBy("key").agg(F.collect_set(F.struct("n", "pos")).alias("shapes"))
+    able = open_.join(shapes, "key").where(F.exists("shapes", lambda p: _may_link("n", "pos", p["n"], p["pos"]))).drop("shapes")
+    x, y = (able.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "pos", "c")]) for side in "xy")
+    fit = (x.key == y.key) & (F.col("x_c") < F.col("y_c")) & _may_link("x_n", "x_pos", "y_n", "y_pos")
+    cross = x.join(y, fit).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     more = s.keep(_compare(cross.join(heads, ["a", "b"], "left_anti"), texts))
     every = s.keep(links.unionByName(more))
     of = components(every, s)
