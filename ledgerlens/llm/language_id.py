@@ -32,6 +32,11 @@ def _fold(text: str) -> str:
     return _SPACE.sub(" ", text.lower())
 
 
+def _has_letter(text: str) -> bool:
+    m = _LETTER.search(text)
+    return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def _kernel(x: np.ndarray, marks: np.ndarray, norms: np.ndarray) -> np.ndarray:
     x = x.astype(np.float32)
     return (x @ marks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] / norms
@@ -81,7 +86,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         def f(b):
             texts = b.column(2).to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            at = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if model and t and _has_letter(t)]
             for part in batches(at):
                 s = _kernel(presence([_fold(texts[i]) for i in part], BITS, ORDERS), marks, model["norms"]) @ model["weights"] + model["bias"]
                 e = np.exp(3.0 * (s - s.max(1, keepdims=True)))

@@ -246,12 +246,12 @@ def test_language_id(spark):
     alphabets = {"aa": "abcdef", "bb": "defghi", "cc": "éèêabc"}
     r = random.Random(7)
     rows = [(i, " ".join("".join(r.choices(a, k=5)) for _ in range(30)), k) for i, (k, a) in enumerate(list(alphabets.items()) * 80)]
-    rows += [(900, None, None), (901, "123 !?", "aa"), (902, "fedabc abcfed", None)]
+    rows += [(900, None, None), (901, "123 !?", "aa"), (902, "fedabc abcfed", None), (903, "² ³ 1", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("turn", F.lit(0))
     got = {r.doc_id: r for r in language_id.predict(df, language_id.fit(df)).collect()}
     held = [(i, k) for i, _, k in rows[:240] if got[i].held_out]
     assert len(held) > 20 and all(got[i].lang_pred == k for i, k in held)
-    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "aa"
+    assert got[900].lang_pred == got[901].lang_pred == got[903].lang_pred == "und" and got[902].lang_pred == "aa"
     assert {r.lang_pred for r in language_id.predict(df, language_id.fit(df.limit(0))).collect()} == {"und"}
 
 
