@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         df.write.parquet(path)
+        # shuffle files of the plan just run go once the driver collects its garbage; ask for it, as disk is scarcer
+        gc.collect()
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
