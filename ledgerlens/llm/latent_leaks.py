@@ -6,8 +6,9 @@
    A^T A Q) gives the passages' leading right singular vectors, the latent space.
 3. Every document is cut into the same windows; a window's vector is folded into the latent space, and
    its cosine with all passages comes from one matrix product. A cosine of ``cosine`` or more makes
-   a candidate, if the window also holds ``share`` of the passage's weight; windows whose own words do
-   not weigh that much are told before any vector is made.
+   a candidate, if the window also holds ``share`` of the passage's weight. That weight is counted over the
+   terms themselves, as the latent space keeps only part of it; windows whose own words do not weigh that
+   much are told before any vector is made.
 4. A candidate is checked in the document's own words around the window: the longest common
    subsequence with the whole item must cover ``cover`` of it; or, for paraphrases, ``loose`` of it if the
    item's answer (its last sentence) is there too, in order.
@@ -176,25 +177,26 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
     fold = (space * idf[:, None]).astype(np.float32)
     rows = items.collect()  # at most slice_items short texts
     item_words = [words([r.text])[0] for r in rows]
-    passages, owner, weight = [], [], []
+    passages, owner, weight, held = [], [], [], []
     for i, h in enumerate(item_words):
         for t, w in _rows(h, vocabulary, idf):
             passages.append((w @ space[t]).astype(np.float32))
             owner.append(i)
             weight.append(w @ w)
+            flags = np.zeros(len(vocabulary) + 1, bool)
+            flags[t] = True
+            held.append(np.packbits(flags, bitorder="little"))
     if not passages:
         return spark.createDataFrame([], OUTPUT)
     p = np.stack(passages)
-    length = np.maximum(np.linalg.norm(p, axis=1), 1e-9)
-    p /= length[:, None]
-    floor = (share * np.array(weight) / length).astype(np.float32)
-    square, enough = (idf * idf).astype(np.float32), share * min(weight)
+    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+    square, enough = np.append(idf * idf, 0), (1 - 1e-9) * share * np.array(weight)
     answers = [len(words([_SENTENCE.split(r.text.strip())[-1]])[0]) if r.text else 0 for r in rows]
-    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, floor, np.array(owner), [r.item_id for r in rows], item_words, answers))
+    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, np.stack(held), np.array(owner), [r.item_id for r in rows], item_words, answers))
 
     def make():
-        vocabulary, fold, square, enough, p, floor, owner, ids, item_words, answers = model.value
-        places = []
+        vocabulary, fold, square, enough, p, held, owner, ids, item_words, answers = model.value
+        places, least = [], enough.min()
         for h in item_words:
             d: dict = {}
             for k in range(len(h) - 1, -1, -1):
@@ -210,6 +212,20 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
             ok = shared == n if n < LEAST_WORDS else shared >= cover * n or (shared >= loose * n and answer)
             return (shared, n, shared / n, answer) if ok else None
 
+        def holding(v: np.ndarray, begin: np.ndarray, end: np.ndarray, w: np.ndarray, k: np.ndarray) -> np.ndarray:
+            """Whether window w holds its share of passage k, by the terms that both have; windows are v[begin : begin + WINDOW]."""
+            some, w = np.unique(w, return_inverse=True)
+            at = begin[some][:, None] + np.arange(WINDOW)
+            t = np.where(at < end[some][:, None], v[np.minimum(at, len(v) - 1)], -1)
+            t = np.sort(np.where(t < 0, len(vocabulary), t), axis=1)
+            t[:, 1:][t[:, 1:] == t[:, :-1]] = len(vocabulary)
+            out = np.zeros(len(w), bool)
+            for a in range(0, len(w), 20_000):
+                u, q = t[w[a : a + 20_000]], k[a : a + 20_000]
+                both = (held[q[:, None], u >> 3] >> (u & 7).astype(np.uint8)) & 1
+                out[a : a + 20_000] = (both * square[u]).sum(1) >= enough[q]
+            return out
+
         def f(b):
             out = []
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -229,7 +245,7 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                 pair = np.concatenate((doc[1:] == doc[:-1], [False]))
                 mass[pair] += mass[np.flatnonzero(pair) + 1]
                 # a window shares at most its own mass with a passage; where that is too little, no vector is made
-                windows = np.flatnonzero((pair | np.repeat(halves == 1, halves)) & (mass >= enough))
+                windows = np.flatnonzero((pair | np.repeat(halves == 1, halves)) & (mass >= least))
                 if not len(windows):
                     continue
                 need = np.zeros(len(doc), bool)
@@ -247,10 +263,12 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                 two = pair[windows]
                 vector[two] += latent[place[windows[two] + 1]]
                 s = vector @ p.T
-                s[s < floor] = 0
                 s /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
                 best: dict = {}
-                for w, k in zip(*np.nonzero(s >= cosine)):
+                near, passage = np.nonzero(s >= cosine)
+                begin = first[doc[windows]] + (windows - base[doc[windows]]) * HALF
+                keep = holding(v, begin, (first + n)[doc[windows]], near, passage)
+                for w, k in zip(near[keep].tolist(), passage[keep].tolist()):
                     c = int(windows[w])
                     d, i = int(doc[c]), int(owner[k])
                     start = (c - int(base[d])) * HALF
