@@ -1,8 +1,9 @@
 """Operator 4: toxicity by noisy-channel deobfuscation.
 
 A word that looks written around a filter (symbols or digits among letters, separators between single
-letters, runs of one letter) spans a character lattice: each symbol may stand for letters, a
-separator may stand for nothing, a repetition for one letter or two. A Viterbi search under a
+letters, doubled letters or longer runs) spans a character lattice: each symbol may stand for letters, a
+separator may stand for nothing or a word boundary, a repetition for one letter or two. Accented letters
+stand for themselves and for their base letters. A Viterbi search under a
 trigram character model finds the likeliest word. The restored text is then scored by a logistic
 model over a lexicon learned from the labels.
 
@@ -33,6 +34,7 @@ SEPARATORS = ".-_*~'^/\\,+:;·"
 _A = 27  # letters and the word boundary
 _EDGE = re.compile(r"^[^\w@$!|(*€£#]+|[^\w@$|(*€£#]+$")
 _LETTERS = re.compile(r"[^\W\d_]+\Z")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[^\w]+")
 _MAX_WORD = 40
@@ -84,36 +86,49 @@ class Channel:
         self.p = np.log(p3).tolist()
         self.first = np.log(p2).tolist()
 
-    def decode(self, word: str) -> str:
-        """The likeliest plain word behind `word` (lower case, at most _MAX_WORD signs)."""
-        beam = {(0, 0): (0.0, "")}  # last two letters -> cost and spelling
-        last = ""
-        for i, ch in enumerate(word):
+    def decode(self, word: str, apart: bool = False) -> str:
+        """The likeliest plain word behind `word` (lower case); with `apart` the likeliest words, as every separator
+        or blank may be a word boundary too. Letters outside a to z stand for themselves."""
+        beam: dict = {(0, 0): (0.0, None)}  # last two letters -> cost and spelling, last letter first
+        last, often = "", len(_DOUBLE.findall(word)) > 1
+        for ch in word:
             options = []
-            if "a" <= ch <= "z":
+            between = ch in SEPARATORS or ch == " "
+            if ch.isalpha():
                 options.append((0.0, ch))
-            elif ch.isalpha():
-                return word
             else:
                 options += [(1.0 if len(SIGNS.get(ch, "")) == 1 else 1.6, x) for x in SIGNS.get(ch, "")]
-                if ch in SEPARATORS or ch == " " or not options:
-                    options.append((0.7 if ch in SEPARATORS or ch == " " else 3.0, ""))
+                if between or not options:
+                    options.append((0.7 if between else 3.0, ""))
             if ch == last:
-                options.append((0.4 if ch * 3 in word else 2.0, ""))
-            last = ch if ch not in SEPARATORS and ch != " " else last
+                options.append((0.4 if often or ch * 3 in word else 2.0, ""))
+            last = ch if not between else last
             new: dict = {}
             for (a, b), (cost, out) in beam.items():
                 for price, x in options:
                     if x:
-                        k = ord(x) - 96
-                        to, total = (b, k), cost + price - (self.p[a][b][k] if out else self.first[0][k])
+                        k = ord(x) - 96 if "a" <= x <= "z" else 0
+                        to, total = (b, k), cost + price - (self.p[a][b][k] if a or b else self.first[0][k])
                     else:
                         to, total = (a, b), cost + price
                     if to not in new or total < new[to][0]:
-                        new[to] = (total, out + x)
+                        new[to] = (total, (x, out) if x else out)
+                if apart and between and out and out[0] != " ":
+                    total = cost + 0.7 - self.p[a][b][0]
+                    if (0, 0) not in new or total < new[0, 0][0]:
+                        new[0, 0] = (total, (" ", out))
             beam = new
-        best = min(beam.items(), key=lambda s: (s[1][0] - self.p[s[0][0]][s[0][1]][0] - s[1][1].count("?"), s[1][1]))
-        return best[1][1]
+
+        def spelled(out) -> str:
+            letters = []
+            while out:
+                letters.append(out[0])
+                out = out[1]
+            return "".join(reversed(letters))
+
+        ends = [(cost - self.p[a][b][0], out) for (a, b), (cost, out) in beam.items()]
+        least = min(cost for cost, _ in ends)
+        return min(spelled(out) for cost, out in ends if cost == least)
 
 
 def plain_words(token: str, channel: Channel | None) -> tuple[str, ...]:
@@ -138,17 +153,16 @@ def with_stems(words) -> list[str]:
 
 
 def spaced(tokens: list[str], channel: Channel) -> list[str]:
-    """Words spelled with a blank between their letters."""
+    """Words spelled with a blank between their letters: a run as one word, and as the likeliest words."""
     out, run = [], []
     for t in [*tokens, "  "]:
         if len(t) == 1:
             run.append(t)
         else:
             if len(run) >= 4:
-                word = "".join(run)[: 4 * _MAX_WORD]
-                out += [channel.decode(word[a : a + _MAX_WORD]) for a in range(0, len(word), _MAX_WORD)]
+                out += [channel.decode("".join(run)), *channel.decode(" ".join(run), apart=True).split()]
             run = []
-    return out
+    return list(dict.fromkeys(w for w in out if w))
 
 
 class Reader:

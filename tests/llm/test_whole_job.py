@@ -2,7 +2,9 @@
 
 import random
 
-from ledgerlens.llm import latent_leaks
+import numpy as np
+
+from ledgerlens.llm import latent_leaks, toxicity
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,3 +18,19 @@ def test_every_verbatim_item_is_found_with_many_more_passages_than_dimensions(sp
     docs = [(i, f"{said(r.randint(0, 90))} {t} {said(r.randint(0, 90))}") for i, t in items] + [(1000 + i, said(120)) for i in range(200)]
     got = latent_leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(x.doc_id, x.item_id) for x in got.where("coverage = 1").collect()} == {(i, i) for i, _ in items}
+
+
+def channel():
+    counts = np.zeros((27, 27, 27))
+    ordinary = "such a loser you are a moron and an idiot is not very stupid he said that they were all here with the other people of this house " * 20
+    text = toxicity._codes(" " + ordinary + " ")
+    np.add.at(counts, (text[:-2], text[1:-1], text[2:]), 1)
+    return toxicity.Channel(counts, ["idiot", "moron", "stupid", "loser"])
+
+
+def test_spaced_letters_have_word_boundaries_and_no_last_letter():
+    ch = channel()
+    for said, meant in {"such a l o s e r here": {"loser"}, "you are a m o r o n": {"moron"}, "s t u p i d i d i o t": {"stupid", "idiot"}}.items():
+        assert meant <= set(toxicity.spaced(said.split(), ch)), said
+    filler = "t h a t t h e y w e r e a l l h e r e " * 20
+    assert {"moron"} <= set(toxicity.spaced((filler + "m o r o n").split(), ch))
