@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,9 +36,10 @@ _A = 27  # letters and the word boundary
 _EDGE = re.compile(r"^[^\w@$!|(*€£#]+|[^\w@$|(*€£#]+$")
 _LETTERS = re.compile(r"[^\W\d_]+\Z")
 _DOUBLE = re.compile(r"(.)\1")
-_TRIPLE = re.compile(r"(.)\1\1")
+_TRIPLE_OR_MORE = re.compile(r"(.)\1{2,}")
 _SPLIT = re.compile(r"[^\w]+")
-_MAX_WORD = 40
+_PARTS = re.compile(f"[{re.escape(SEPARATORS)}]+")
+_MAX_WORD = 40  # in longer tokens a sign repeated more than three times counts as three
 STEMS = (4, 5, 6)  # a word's beginnings of these lengths count too, for inflected words
 
 
@@ -131,20 +133,39 @@ class Channel:
         return min(spelled(out) for cost, out in ends if cost == least)
 
 
+def _base_letters(word: str) -> str:
+    """Accented letters as their base letters."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def _restored(piece: str, channel: Channel) -> list[str]:
+    """What one piece without its edges may stand for, also without the signs around it."""
+    if len(piece) > _MAX_WORD:
+        piece = _TRIPLE_OR_MORE.sub(r"\1\1\1", piece)
+    found = []
+    for core in dict.fromkeys((piece, _base_letters(piece))):
+        found.append(channel.decode(core))
+        bare = _EDGE.sub("", core.strip("!*#$|(@€£"))
+        if bare != core and bare:
+            found.append(bare if _LETTERS.match(bare) and not _DOUBLE.search(bare) else channel.decode(bare))
+        if _PARTS.search(core):
+            found += channel.decode(core, apart=True).split()
+    return found
+
+
 def plain_words(token: str, channel: Channel | None) -> tuple[str, ...]:
     """The words that one white-space-delimited lower-case token stands for."""
     core = _EDGE.sub("", token)
     if not core:
         return ()
-    if _LETTERS.match(core) and not (channel and _TRIPLE.search(core)):
+    if _LETTERS.match(core) and not (channel and _DOUBLE.search(core)):
         return (core,)
     found = [w for w in _SPLIT.split(core) if w]
-    if channel and len(core) <= _MAX_WORD:
-        found.append(channel.decode(core))
-        bare = _EDGE.sub("", core.strip("!*#$|(@€£"))
-        if bare != core and bare:
-            found.append(bare if _LETTERS.match(bare) and not _TRIPLE.search(bare) else channel.decode(bare))
-    return tuple(dict.fromkeys(found))
+    if channel:
+        for piece in dict.fromkeys([core, *found, *_PARTS.split(core)]):
+            if piece == core or len(piece) > 1 and not (_LETTERS.match(piece) and not _DOUBLE.search(piece)):
+                found += _restored(piece, channel)
+    return tuple(dict.fromkeys(w for w in found if w))
 
 
 def with_stems(words) -> list[str]:

@@ -34,3 +34,9 @@ def test_spaced_letters_have_word_boundaries_and_no_last_letter():
         assert meant <= set(toxicity.spaced(said.split(), ch)), said
     filler = "t h a t t h e y w e r e a l l h e r e " * 20
     assert {"moron"} <= set(toxicity.spaced((filler + "m o r o n").split(), ch))
+
+
+def test_all_classes_of_obfuscated_tokens_are_read():
+    ch = channel()
+    for seen, meant in {"you-l0s3r": "loser", "you_l0s3r": "loser", "iidiioott": "idiot", "ídi0t": "idiot", "you-are-a-l0s3r-and-such-a-m0r0n-they-said-that": "moron", "l" + "o" * 60 + "ser": "loser", "you-s.t.u.p.i.d": "stupid"}.items():
+        assert meant in toxicity.plain_words(seen, ch), seen
