@@ -473,8 +473,9 @@ def other_deadlines(spark, d):
 
 @query()
 def norm_polarity_pairs(spark, d):
-    """Fragments in the language of norms, made from line items: both sides of some norms."""
-    li = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("frag_id"), F.concat(F.lit("По п. "), (F.col("l_partkey") % 700).cast("string"), F.lit(" ст. "), (F.col("l_suppkey") % 90).cast("string"), F.lit(" кредитор "), F.when(F.col("l_returnflag") == "R", "не вправе").otherwise("вправе"), F.lit(" требовать")).alias("text"))
+    """Fragments in the language of norms, made from all line items; parts and orders are the norms, so their number grows with the table."""
+    frag = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))  # order and line alone repeat in these tables
+    li = read(spark, d, "lineitem").select(frag.alias("frag_id"), F.concat(F.lit("По п. "), F.col("l_partkey").cast("string"), F.lit(" ст. "), F.col("l_orderkey").cast("string"), F.lit(" кредитор "), F.when(F.col("l_returnflag") == "R", "не вправе").otherwise("вправе"), F.lit(" требовать")).alias("text"))
     return text.contradictions(li)
 
 

@@ -1,0 +1,23 @@
+"""norm_polarity_pairs against plain loops over all line items."""
+
+import os
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+import pytest
+
+from ledgerlens.plans import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+def test_pairs_of_all_line_items(spark):
+    named = defaultdict(list)
+    for r in pq.read_table(f"{SF}/lineitem.parquet").to_pylist():
+        frag = "-".join(str(r[c]) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) + f"-{round(r['l_extendedprice'] * 100)}"
+        for norm in (f"п.{r['l_partkey']}", f"ст.{r['l_orderkey']}"):
+            named[norm].append((frag, r["l_returnflag"] == "R"))
+    want = {(n, x, y) for n, f in named.items() if len(f) <= 60 for x, no in f if not no for y, not_ in f if not_ and x != y}
+    got = {(r.norm, r.affirms, r.denies) for r in queries.QUERIES["norm_polarity_pairs"](spark, SF).collect()}
+    assert want and got == want
