@@ -39,12 +39,64 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests)."""
+    """The shared folder the session names. Where none is named, a temporary one stands in on a local master
+    only; a cluster's executors would not see it, so there it is an error."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ledgerlens_ckpt_")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlens_ckpt_"))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+MARK_BITS = 23
+
+
+def _mark(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << MARK_BITS))
+
+
+def marks(ids: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bitmap of 2**MARK_BITS hashed ids, as at most 2**(MARK_BITS - 6) rows whatever the input."""
+    words = ids.select(_mark(column).alias("m")).selectExpr("shiftright(m, 6) AS word", "shiftleft(1L, int(m & 63)) AS bit")
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def with_mark(df: DataFrame, column: str, words: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the id may be one of those marked (true for each that is, false for a null).
+    The bitmap is broadcast; marks() bounds its rows. It only saves work, so rows it passes need an exact join."""
+    m = _mark(column)
+    slots = words.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(f"{name}_bits"))
+    joined = df.join(F.broadcast(slots), F.shiftright(m, 6) == F.col(f"{name}_word"), "left")
+    hit = F.col(column).isNotNull() & F.coalesce(F.getbit(f"{name}_bits", m.bitwiseAND(F.lit(63))) == 1, F.lit(False))
+    return joined.withColumn(name, hit).drop(f"{name}_word", f"{name}_bits")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as keep it and its derivatives apart from df's columns."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
+def give_back() -> None:
+    """At the end of a task: what Python and Arrow have freed goes back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of df as DDL, whatever their names hold."""
+    return ", ".join("`{}` {}".format(c.replace("`", "``"), t) for c, t in df.dtypes)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,6 +135,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
                 cols = f(b)
                 if cols is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
+        del f
+        give_back()
 
     return df.mapInArrow(run, struct)
 

@@ -147,7 +147,42 @@ def test_divide_skip_equals_counting():
     q = np.unique(r.integers(0, 400, 120).astype(np.uint64))
     records = [np.unique(np.concatenate((r.choice(q, max(1, len(q) - k), replace=False), r.integers(1000, 2000, k // 3).astype(np.uint64)))) for k in range(40)]
     want = [(i, len(np.intersect1d(q, x))) for i, x in enumerate(records) if 100 * len(np.intersect1d(q, x)) >= 85 * len(np.union1d(q, x))]
-    assert sorted(jaccard_join.divide_skip(q, records)) == want and want
+    assert sorted(jaccard_join.Index(records).search(q)) == want and want
+
+
+def test_bitmaps_never_refuse_a_link():
+    r = np.random.default_rng(12)
+    refused = 0
+    for _ in range(600):
+        n = int(r.integers(1, 400))
+        x = np.unique(r.integers(0, 2**63, n, np.uint64))
+        keep = x[r.random(len(x)) < r.choice([0.5, 0.85, 0.95, 1.0])]
+        y = np.unique(np.concatenate((keep, r.integers(0, 2**63, int(r.integers(0, max(1, n // 6) + 1)), np.uint64))))
+        if len(y):
+            shared = len(np.intersect1d(x, y))
+            ok = jaccard_join.could_link(jaccard_join.bitmap(x), len(x), jaccard_join.bitmap(y), len(y))
+            assert ok or not jaccard_join.linked(shared, len(x), len(y))
+            refused += not ok
+    assert refused > 50
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b = prose(80, 31), prose(80, 32)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    for ids in ((5, 5, 6, 7), (5, 5, 3, 7), (9, 9, 6, 7)):
+        rows = list(zip(ids, (a, b, near(a), near(b))))
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "doc_id long, text string")
+            assert pairs(jaccard_join.join_components(df), "n_shingles", "component_id") == brute(rows)
+            assert [x.doc_id for x in jaccard_join.keep_one(df).collect()] == [min(ids)]
+
+
+def test_a_query_of_many_records_is_dealt_over_blocks(spark, monkeypatch):
+    base = prose(100, 41).split()
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 20_000)
+    assert pairs(jaccard_join.join_components(df), "n_shingles", "component_id") == sorted(((i, 98, 0) for i in range(300)), key=repr)
 
 
 def test_shingle_sets_have_the_sizes_of_true_sets():
