@@ -75,6 +75,16 @@ def with_mark(df: DataFrame, column: str, words: DataFrame, name: str) -> DataFr
     return joined.withColumn(name, hit).drop(f"{name}_word", f"{name}_bits")
 
 
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is not in ids(column), a written table; rows without an id stay. Only rows that the
+    bitmap of ids does not clear are shuffled."""
+    may = free_name(df, "may")
+    known = with_mark(df, column, marks(ids, column), may)
+    names = [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+    kept = known.where(F.col(may)).join(ids.select(column).distinct(), column, "left_anti")
+    return known.where(~F.col(may)).select(*names).unionByName(kept.select(*names))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as keep it and its derivatives apart from df's columns."""
     taken = [c.lower() for c in df.columns]

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_batches, ship, slices
+from .base import give_back, map_batches, ship, slices, without_ids
+from .scratch import Scratch
 from .shingles import in_batches, word_hashes
 
 WINDOW, HALF, LEAST_WORDS = 32, 16, 8
@@ -304,5 +305,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: fl
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents into which no item leaks; rows without an id stay."""
-    leaked = find_leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    leaked = Scratch(docs.sparkSession).keep(find_leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
+    return without_ids(docs, "doc_id", leaked)

@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .base import map_batches
+from .base import ddl, map_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -142,7 +142,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of documents with every span replaced by `mark` and n_chars counted anew; no row goes."""
     names = docs.columns
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    kinds = ddl(docs)
     at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def make():

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, map_batches, slices, text_sample
+from .base import ddl, held_out, map_batches, slices, text_sample
 
 MAX_LEXICON = 512
 #: What a sign may stand for.
@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of documents, unchanged, whose score is below the threshold. One map, no shuffle."""
-    at, kinds = docs.columns.index("text"), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    at, kinds = docs.columns.index("text"), ddl(docs)
     lexicon, width = model["lexicon"], len(docs.columns)
 
     def make():
