@@ -5,6 +5,12 @@
 3. benchmark decontamination: documents into which a benchmark item leaks go;
 4. secret scan: every span found is replaced by a mark; no document goes;
 5. byte-level BPE: what is left is encoded, and decoded again.
+
+Defined cases, the same for all stages: a null or empty text is clean, links with nothing, leaks nothing, holds no
+secret and has no tokens, so its row stays; a row without an id stays; of repeated rows (one id) the second stage
+keeps one, the first by its columns in order; of a group of near copies the smallest id stays, so ties cannot
+arise; very long texts are worked through whole; an empty table gives no rows; further columns are kept as they are
+up to the last stage, which returns its digests instead.
 """
 
 from __future__ import annotations
