@@ -104,9 +104,6 @@ def give_back() -> None:
         pass  # another C library
 
 
-def ddl(df: DataFrame) -> str:
-    """The columns of df as DDL, whatever their names hold."""
-    return ", ".join("`{}` {}".format(c.replace("`", "``"), t) for c, t in df.dtypes)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -151,9 +148,16 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
     return df.mapInArrow(run, struct)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """map_batches() to rows of the same columns, whatever their names hold: columns travel by position."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return map_batches(plain, ", ".join(f"{c} {t}" for c, t in plain.dtypes), make).toDF(*df.columns)
+
+
 def text_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, label): at most `rows` labelled rows, chosen by a hash of the id from those that
-    may be learned from. The ids chosen are broadcast; `rows` bounds them. Text is never shuffled."""
+    may be learned from; of an id with several rows its least text. The ids chosen are broadcast; `rows` bounds them."""
     named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & learnable())
     ids = named.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").where(learnable()).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").where(learnable()).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

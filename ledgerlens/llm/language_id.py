@@ -5,12 +5,15 @@ to 3, white space as one character, case folded). Nyström landmarks stand for t
 space, a ridge regression for each language against the rest is fitted there, and texts are scored by
 batched matrix products: presence x landmarks x weights.
 
-Fitted on at most ``per_language`` rows of each language (by a hash of the id; the bound of the
-sample), landmarks are the first ``landmarks`` of these by turns. Every text is scored whole.
+Fitted on at most ``per_language`` ids of each language and ``rows`` in all (by a hash of the id, languages
+by turns; the bounds of the sample; of an id with several texts the least is learned). Landmarks are the
+first ``landmarks`` of these by turns, or one for each language where there are more languages. Every text
+is scored whole.
 
 Defined cases: null text, or text with no letter: ``und`` with score 0; null languages are not
-learned; with no row to learn from, every prediction is ``und``; repeated ids are scored row by row;
-further columns are ignored.
+learned; with no row to learn from, every prediction is ``und``; equal values of two languages: the first by
+name; repeated ids are scored row by row; very long texts are folded and scored whole, in pieces that
+overlap; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +45,13 @@ def _kernel(x: np.ndarray, marks: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return (x @ marks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] / norms
 
 
-def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 192, ridge: float = 0.05, max_languages: int = 256) -> dict | None:
+def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 192, ridge: float = 0.05, rows: int = 60_000) -> dict | None:
     """{langs, marks, norms, weights}, from learnable rows of docs with a language."""
     named = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & learnable())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = named.withColumn("turn", turn).where(F.col("turn") <= per_language).limit(per_language * max_languages)
-    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull() & learnable()).join(F.broadcast(ids.distinct()), "doc_id")
+    turn = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = named.withColumn("turn", turn).where(F.col("turn") <= per_language).distinct().orderBy("turn", "lang").limit(rows)
+    found = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull() & learnable()).join(F.broadcast(ids), ["doc_id", "lang"])
+    chosen = found.groupBy("doc_id", "lang", "turn").agg(F.min("text").alias("text"))
 
     def make():
         def f(b):
@@ -65,7 +69,7 @@ def fit(docs: DataFrame, per_language: int = 300, landmarks: int = 192, ridge: f
     x = np.unpackbits(np.frombuffer(b"".join(got.marks), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
     langs = sorted(set(got.lang))
     y = np.where(got.lang.to_numpy()[:, None] == np.array(langs, object)[None, :], 1.0, -1.0)
-    marks = x[:landmarks]
+    marks = x[: max(landmarks, len(langs))]
     norms = np.sqrt(np.maximum(marks.sum(1), 1))
     value, vector = np.linalg.eigh(_kernel(marks, marks, norms).astype(np.float64))
     keep = value > 1e-6 * value.max()

@@ -5,10 +5,13 @@ neighbouring words (an n-gram of repetition marks for each length up to ``RUNS``
 scaled by the log ratio of its smoothed class frequencies, and a linear model is fitted to the hinge
 loss by dual coordinate descent. The score is the logistic function of the margin.
 
-Labels are learned from at most ``rows`` learnable rows (by a hash of the id). Every text is scored
-whole. Defined cases: null text is empty; empty texts have a score like any other; without rows to
-learn from, or with one class only, the score is the share of class 1 (0.5 without rows); further
-columns are ignored.
+The repetition marks are there because the commonest fault of a bad text, one word again and again, is
+an n-gram of any words, which no n-gram of given characters stands for.
+
+Labels are learned from at most ``rows`` learnable rows (by a hash of the id; of a repeated id its least
+text). Every text is scored whole, very long ones in pieces that overlap. Defined cases: null text is empty; empty texts have a score like any other; without rows to
+learn from, or with one class only, the score is the share of class 1 (0.5 without rows); repeated ids
+are scored row by row, and equal texts have equal scores; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
