@@ -1,15 +1,14 @@
 """Operator 3: token counts by overlap resynchronisation.
 
-A document of up to ``chunk_chars`` is counted from its pre-tokens, each of which the tokenizer
-library has encoded once per worker (it never merges across pre-tokens). A longer one is encoded in
-overlapping chunks with offsets. Two neighbouring chunks are spliced at a stable boundary: a position
+A document of up to ``chunk_chars`` is one chunk, encoded whole by the tokenizer library. A longer one is
+encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at a stable boundary: a position
 in their overlap where both encodings start a token and white space follows a character that is
 none. No pre-token and no special string spans such a position and the pattern never looks back, so
 what either side gives there is what the whole text gives. Where an overlap has none, it is widened,
 up to the whole text.
 
-Defined cases: null text is empty and has 0 bytes and tokens; every row is counted, repeated ids too;
-further columns are ignored.
+Defined cases: null text is empty and has 0 bytes and tokens; every row is counted, repeated ids and null ids
+too; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +17,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .base import map_batches
-from .pretokens import pieces
-
-_CACHE: dict = {}
-_CACHE_MAX = 400_000
 
 
 def _library(path: str):
@@ -30,7 +25,10 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def splice_count(text: str, tok, chunk: int, overlap: int) -> int:
@@ -62,29 +60,22 @@ def splice_count(text: str, tok, chunk: int, overlap: int) -> int:
     return total + int((left >= floor).sum())
 
 
-def count_all(texts: list[str], path: str, chunk: int, overlap: int) -> list[int]:
-    if path not in _CACHE:
-        _CACHE[path] = (_library(path), {})
-    tok, known = _CACHE[path]
-    specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    by_piece = type(tok.pre_tokenizer).__name__ == "ByteLevel" and tok.normalizer is None
-    if len(known) > _CACHE_MAX:
-        known.clear()
-    out, small = [0] * len(texts), []
+def count_all(texts: list[str], tok, chunk: int, overlap: int) -> list[int]:
+    """Tokens of each text: one encoding of the whole text, or of overlapping chunks where it is huge."""
+    out = [0] * len(texts)
+    short = [i for i, t in enumerate(texts) if len(t) <= chunk]
+    a = 0
+    while a < len(short):
+        z, size = a, 0
+        while z < len(short) and size < 500_000:
+            size += len(texts[short[z]])
+            z += 1
+        for i, e in zip(short[a:z], tok.encode_batch_fast([texts[i] for i in short[a:z]], add_special_tokens=False)):
+            out[i] = len(e.ids)
+        a = z
     for i, t in enumerate(texts):
         if len(t) > chunk:
             out[i] = splice_count(t, tok, chunk, overlap)
-        elif not by_piece or any(s in t for s in specials):
-            out[i] = len(tok.encode(t, add_special_tokens=False).ids)
-        else:
-            small.append((i, pieces(t)))
-    new = list({w for _, p in small for w in p if w not in known})
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        known.update(zip(part, (len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False))))
-    get = known.__getitem__
-    for i, p in small:
-        out[i] = sum(map(get, p))
     return out
 
 
@@ -92,11 +83,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk_chars:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of documents. One map over the rows, no shuffle."""
 
     def make():
+        tok = _library(tokenizer)
+
         def f(b):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = []
-            for k in range(0, len(texts), 1000):
-                n += count_all(texts[k : k + 1000], tokenizer, chunk_chars, overlap_chars)
+            n = count_all(texts, tok, chunk_chars, overlap_chars)
             return [b.column(0), [len(t.encode()) for t in texts], n, [x > limit for x in n]]
 
         return f
