@@ -9,10 +9,11 @@ model over a lexicon learned from the labels.
 
 * The character model counts trigrams over all documents, and the lexicon's words with a weight.
 * The lexicon are the words and stems whose document counts in the classes differ most, from at most ``rows``
-  learnable labelled rows (the bound of the sample), at most ``MAX_LEXICON`` of them.
+  learnable labelled rows (the bound of the sample, and so of the lexicon; of a repeated id its least text).
 
 Defined cases: null text is empty; an empty text has the score of a text without a lexicon word; with
-no labels the score is 0.5 minus a margin for all; repeated ids are scored row by row; further
+no labels the score is 0.5 minus a margin for all; of equally likely spellings the first in order is read;
+repeated ids are scored row by row; very long texts are read whole; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -21,14 +22,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ddl, held_out, map_batches, slices, text_sample
+from .base import held_out, map_batches, map_rows, slices, text_sample
 
-MAX_LEXICON = 512
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h", "*": "aeiou", "%": "aeiou"}
 SEPARATORS = ".-_*~'^/\\,+:;·"
@@ -187,7 +188,7 @@ def spaced(tokens: list[str], channel: Channel) -> list[str]:
 
 
 class Reader:
-    """Restored words of texts, with a bounded memory of tokens seen."""
+    """Restored words of texts, with a memory of at most `most` tokens seen, of 64 characters or fewer each."""
 
     def __init__(self, channel: Channel | None, lexicon: dict[str, int] | None, most: int = 150_000):
         self.channel, self.lexicon, self.most, self.seen = channel, lexicon, most, {}
@@ -202,9 +203,10 @@ class Reader:
                 w = with_stems(plain_words(t, self.channel))
                 if self.lexicon is not None:
                     w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
-                if len(seen) >= self.most:
-                    seen.clear()
-                seen[t] = w
+                if len(t) <= 64:
+                    if len(seen) >= self.most:
+                        seen.clear()
+                    seen[t] = w
             if w:
                 out.update(w)
         if self.channel is not None:
@@ -213,8 +215,18 @@ class Reader:
         return out
 
 
+_READER: dict = {}  # the last model's reader: the next task of a worker goes on with the tokens it knows
+
+
+def _reader(model: dict) -> Reader:
+    if model["name"] not in _READER:
+        _READER.clear()
+        _READER[model["name"]] = Reader(Channel(model["counts"], model["lexicon"]), {w: i for i, w in enumerate(model["lexicon"])})
+    return _READER[model["name"]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_000, least: int = 6, z: float = 5.0) -> dict:
-    """{lexicon, weights, bias, counts}"""
+    """{lexicon, weights, bias, counts, name}"""
     chosen = text_sample(docs, labels, label, rows).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
     def make():
@@ -230,15 +242,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     n1, n0 = size.get(1, 0), size.get(0, 0)
     counts = char_counts(docs)
     if not n1 or not n0:
-        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 1.0)) if n1 + n0 else -0.1, "counts": counts}
+        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 1.0)) if n1 + n0 else -0.1, "counts": counts, "name": uuid.uuid4().hex}
     by_word = words.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     p, q = (F.col("n1") / n1), (F.col("n0") / n0)
     pool = (F.col("n1") + F.col("n0")) / (n1 + n0)
     far = (p - q) / F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-12)
-    top = by_word.where((F.col("n1") >= least) & (p > 4 * q)).withColumn("z", far).where(F.col("z") >= z).orderBy(F.desc("z"), "word").limit(MAX_LEXICON).toPandas()
+    top = by_word.where((F.col("n1") >= least) & (p > 4 * q)).withColumn("z", far).where(F.col("z") >= z).orderBy(F.desc("z"), "word").toPandas()
     lexicon = top.word.tolist()
     if not lexicon:
-        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5)), "counts": counts}
+        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5)), "counts": counts, "name": uuid.uuid4().hex}
     mine = F.array_intersect("words", F.array(*[F.lit(w) for w in lexicon]))
     got = words.select("label", mine.alias("w")).groupBy("label", "w").count().toPandas()
     no = {w: i for i, w in enumerate(lexicon)}
@@ -256,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
         beta += step
         if abs(step).max() < 1e-8:
             break
-    return {"lexicon": lexicon, "weights": beta[:-1], "bias": float(beta[-1]), "counts": counts}
+    return {"lexicon": lexicon, "weights": beta[:-1], "bias": float(beta[-1]), "counts": counts, "name": uuid.uuid4().hex}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -264,7 +276,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     lexicon = model["lexicon"]
 
     def make():
-        reader = Reader(Channel(model["counts"], lexicon), {w: i for i, w in enumerate(lexicon)})
+        reader = _reader(model)
         weights, bias = model["weights"].tolist(), model["bias"]
 
         def f(b):
@@ -283,13 +295,13 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The rows of documents, unchanged, whose score is below the threshold. One map, no shuffle."""
-    at, kinds = docs.columns.index("text"), ddl(docs)
-    lexicon, width = model["lexicon"], len(docs.columns)
+    at = docs.columns.index("text")
+    width = len(docs.columns)
 
     def make():
         import pyarrow as pa
 
-        reader = Reader(Channel(model["counts"], lexicon), {w: i for i, w in enumerate(lexicon)})
+        reader = _reader(model)
         weights, most = model["weights"].tolist(), math.log(threshold / (1 - threshold)) - model["bias"]
 
         def f(b):
@@ -299,4 +311,4 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
 
         return f
 
-    return map_batches(docs, kinds, make)
+    return map_rows(docs, make)
