@@ -2,13 +2,14 @@
 
 Base kinds (assign, access, hex) are fixed patterns. The method adds spans of kind ``markov``: long
 unbroken tokens whose characters are likelier under a Markov model of random strings than under one
-of ordinary identifiers. Both models are trained on labelled samples: random strings drawn with a
-fixed seed over the alphabets that keys use, and identifiers composed of the names that Python's own
-standard library exports plus long words. The threshold is the one that accepts no identifier of the
-validation half, plus a margin.
+of ordinary identifiers. Every token of ``MIN_TOKEN`` characters is scored, with digits or without. Both
+models are trained on labelled samples: random strings drawn with a fixed seed over the alphabets that keys
+use, and identifiers composed of the ordinary words listed here. The threshold is the one that accepts no
+identifier of the validation half, plus a margin. The model is fitted once, on the driver.
 
 Defined cases: null text is empty; a row with no span has zero counts, the digest of the empty
-string and empty spans; repeated rows are scanned again; further columns are ignored.
+string and empty spans; a token that overlaps a base span is part of it; repeated rows and null ids are scanned like
+any other; very long texts are scanned in one pass over their bytes; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-import sys
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .base import ddl, map_batches
+from .base import map_batches, map_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,19 +37,34 @@ _IS_HEX[[ord(c) for c in "0123456789abcdef"]] = True
 MIN_TOKEN = 20
 
 
+#: Ordinary parts of identifiers and paths, of which the sample of ordinary tokens is composed.
+PARTS = """
+account action active address admin align alpha amount array async attribute author average backup balance banner
+base before block body border bottom branch buffer build button cache callback cancel category center change channel
+character chart check child class clean click client clock close cluster code collection color column command comment
+commit common compare complete component config connection constant container content context control convert copy count
+country create current customer daily data database date debug default delete delivery depth detail device directory
+display distance document domain download driver dynamic edit element email empty enable encode engine entry error event
+example execute expand export factory failure feature field file filter final first flag font footer form format forward
+function gateway general global graph group handler hash header health height helper hidden history host image import
+index info initial inner input insert install instance integer interface internal invoice item iterator join keyboard
+language last layer layout length level library license limit line link list loader local location logger login machine
+""".split()
+
+
 def labelled_samples(n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
     """(random strings, ordinary identifiers), the labelled training data of the two models."""
     r = random.Random(seed)
-    alphabets = (_ALNUM, _ALNUM + "+/", _ALNUM + "_-", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    rand = ["".join(r.choices(alphabets[i % 5], k=r.randint(20, 48))) for i in range(n)]
-    names = sorted({x for m in ("builtins", "os", "re", "string", "math", "socket", "errno", "signal", "types", "typing") if m in sys.modules or __import__(m) for x in dir(sys.modules[m])} | {m for m in sys.stdlib_module_names})
-    names = [x for x in names if len(x) > 2]
+    alphabets = (_ALNUM, _ALNUM + "+/", _ALNUM + "_-", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _ALNUM[:52])
+    rand = ["".join(r.choices(alphabets[i % 6], k=r.randint(20, 48))) for i in range(n)]
     joins = ("_", "-", "", "/", "__")
     plain = []
     for i in range(n):
-        parts = [r.choice(names) for _ in range(r.randint(2, 6))]
+        parts = [r.choice(PARTS) for _ in range(r.randint(3, 7))]
         if i % 3 == 0:
             parts = [p.capitalize() for p in parts]
+        if i % 7 == 0:
+            parts = [p.upper() for p in parts]
         if i % 5 == 0:
             parts.append(str(r.randint(0, 2030)))
         plain.append(joins[i % 5].join(parts)[:64])
@@ -69,12 +84,12 @@ def markov_model(seed: int = 11) -> tuple[np.ndarray, float]:
         return np.log(c / c.sum(1, keepdims=True))
 
     ratio = fit(rand[::2]) - fit(plain[::2])
-    worst = max(_score(ratio, x.encode()) for x in plain[1::2])
+    worst = max(_score(ratio, np.frombuffer(x.encode(), np.uint8)) for x in plain[1::2])
     return ratio, max(worst + 0.05, 0.3)
 
 
-def _score(ratio: np.ndarray, token: bytes) -> float:
-    k = _CODE[np.frombuffer(token, np.uint8)]
+def _score(ratio: np.ndarray, token: np.ndarray) -> float:
+    k = _CODE[token]
     return float(ratio[k[:-1], k[1:]].mean()) if len(k) > 1 else 0.0
 
 
@@ -85,7 +100,7 @@ def _runs(flags: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], z[keep]
 
 
-def spans_of_all(texts: list[str]) -> list[list[tuple[int, int, int]]]:
+def spans_of_all(texts: list[str], model: tuple[np.ndarray, float]) -> list[list[tuple[int, int, int]]]:
     """For each text its sorted spans (start, kind index, end), in code points."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, t in enumerate(texts):
@@ -97,26 +112,37 @@ def spans_of_all(texts: list[str]) -> list[list[tuple[int, int, int]]]:
                 out[i] += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 12]
     raw = [t.encode() for t in texts]
     ends = np.cumsum([len(x) + 1 for x in raw])
+    starts = ends - [len(x) + 1 for x in raw]
     data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
-    ratio, least = markov_model()
+    point = np.cumsum((data & 0xC0) != 0x80) - 1  # the code point that each byte belongs to
+    ratio, least = model
 
-    def place(a: int, z: int) -> tuple[int, int, int]:
-        i = int(np.searchsorted(ends, a, "right"))
-        base = int(ends[i - 1]) if i else 0
-        s = len(raw[i][: a - base].decode())
-        return i, s, s + z - a
+    def place(a: np.ndarray, z: np.ndarray):
+        """(text, first code point, end) of runs of bytes."""
+        i = np.searchsorted(ends, a, "right")
+        first = point[a] - point[starts[i]]
+        return zip(i.tolist(), first.tolist(), (first + z - a).tolist())
 
-    for a, z in zip(*_runs(_IS_HEX[data], 16)):
-        i, s, e = place(int(a), int(z))
+    for i, s, e in place(*_runs(_IS_HEX[data], 16)):
         out[i].append((s, 2, e))
-    for a, z in zip(*_runs(_IS_TOKEN[data], MIN_TOKEN)):
-        token = data[a:z].tobytes()
-        if any(48 <= c < 58 for c in token) and _score(ratio, token) >= least:
-            i, s, e = place(int(a), int(z))
-            if not any(x[0] < e and s < x[2] for x in out[i]):
-                out[i].append((s, 3, e))
     for x in out:
         x.sort()
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    a, z = _runs(_IS_TOKEN[data], MIN_TOKEN)
+    likely = np.array([_score(ratio, data[x:y]) >= least for x, y in zip(a.tolist(), z.tolist())], bool)
+    covered = [0] * len(texts)  # how many base spans begin before the token at hand, and the furthest end of these
+    reach = [0] * len(texts)
+    for i, s, e in place(a[likely], z[likely]):
+        base = out[i]
+        while covered[i] < len(base) and base[covered[i]][0] < e:
+            reach[i] = max(reach[i], base[covered[i]][2])
+            covered[i] += 1
+        if reach[i] <= s:
+            found[i].append((s, 3, e))
+    for x, more in zip(out, found):
+        if more:
+            x += more
+            x.sort()
     return out
 
 
@@ -127,9 +153,11 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) for each row of documents. One map over the rows."""
 
+    model = markov_model()  # fitted here, once; the tasks get its table
+
     def make():
         def f(b):
-            found = spans_of_all([t or "" for t in b.column(1).to_pylist()])
+            found = spans_of_all([t or "" for t in b.column(1).to_pylist()], model)
             base = [[x for x in s if x[1] < 3] for s in found]
             count = [[sum(x[1] == k for x in s) for s in found] for k in range(4)]
             return [b.column(0), *count, [hashlib.sha256(_join(s).encode()).hexdigest() for s in base], [_join(s) for s in found]]
@@ -142,14 +170,15 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of documents with every span replaced by `mark` and n_chars counted anew; no row goes."""
     names = docs.columns
-    kinds = ddl(docs)
     at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
+    model = markov_model()
+
     def make():
         def f(b):
             texts = b.column(at).to_pylist()
             cols = [b.column(i) for i in range(len(names))]
-            found = spans_of_all([t or "" for t in texts])
+            found = spans_of_all([t or "" for t in texts], model)
             for i, spans in enumerate(found):
                 if spans:
                     out, last = [], 0
@@ -166,4 +195,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return f
 
-    return map_batches(docs, kinds, make)
+    return map_rows(docs, make)
