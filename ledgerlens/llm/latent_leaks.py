@@ -11,7 +11,8 @@
    much are told before any vector is made.
 4. A candidate is checked in the document's own words around the window: the longest common
    subsequence with the whole item must cover ``cover`` of it; or, for paraphrases, ``loose`` of it if the
-   item's answer (its last sentence) is there too, in order.
+   item's answer (its last sentence) is there too, in order; or ``PASSAGE_COVER`` of the passage that the window
+   resembles, so that part of an item copied alone is found.
 
 Documents are read twice and never shuffled. The latent model is sent to executors for at most
 ``slice_items`` items at a time; a larger benchmark is worked through in slices.
@@ -36,6 +37,7 @@ from .scratch import Scratch
 from .shingles import in_batches, word_hashes
 
 WINDOW, HALF, LEAST_WORDS = 32, 16, 8
+PASSAGE_COVER = 0.85
 OUTPUT = "doc_id long, item_id long, cosine double, shared int, item_words int, coverage double, answer boolean, start_word int"
 _SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -86,35 +88,40 @@ def _windows(n: int) -> list[tuple[int, int]]:
 
 
 def _rows(hashes: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray):
-    """Of one item: for each passage (terms, weights)."""
+    """Of one item: for each passage (terms, weights, range of words)."""
     v = _in(vocabulary, hashes)
     for a, z in _windows(len(v)):
         t = np.unique(v[a * HALF : z * HALF])
         t = t[t >= 0]
         if (idf[t] > 0).any():
-            yield t, idf[t]
+            yield t, idf[t], (a * HALF, min(z * HALF, len(v)))
 
 
 def _summed(items: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all items of the matrices that make() adds up in each task."""
 
+    parts = 16  # bands of rows, each added up in a task of its own
+
     def run(batches):
         total, add = np.zeros(shape), make()
         for b in batches:
             for t in b.column(0).to_pylist():
                 add(total, words([t])[0])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "m"])
+        bands = [(k, x.tobytes()) for k, x in enumerate(np.array_split(total, parts)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in bands], pa.int32()), pa.array([x for _, x in bands], pa.binary())], names=["k", "m"])
+        give_back()
 
     def add_up(batches):
-        total = np.zeros(shape)
+        total: dict = {}
         for b in batches:
-            for m in b.column(1).to_pylist():
-                total += np.frombuffer(m).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "m"])
+            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(m)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["k", "m"])
 
     kind = "k int, m binary"
-    got = items.select("text").mapInArrow(run, kind).repartition(1).mapInArrow(add_up, kind).collect()
-    return sum((np.frombuffer(bytes(r.m)).reshape(shape) for r in got), np.zeros(shape))
+    got = {r.k: np.frombuffer(bytes(r.m)) for r in items.select("text").mapInArrow(run, kind).repartition(parts, "k").mapInArrow(add_up, kind).collect()}
+    return np.concatenate([got[k].reshape(x.shape) if k in got else x for k, x in enumerate(np.array_split(np.zeros(shape), parts))])
 
 
 def randomised_svd(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int, over: int = 16, power: int = 2, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ def randomised_svd(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, ra
     def through(basis):
         def make():
             def add(total, h):
-                for t, w in _rows(h, vocabulary, idf):
+                for t, w, _ in _rows(h, vocabulary, idf):
                     total[t] += np.outer(w, w @ basis[t])
 
             return add
@@ -138,7 +145,7 @@ def randomised_svd(items: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, ra
 
     def gram():
         def add(total, h):
-            for t, w in _rows(h, vocabulary, idf):
+            for t, w, _ in _rows(h, vocabulary, idf):
                 y = w @ q[t]
                 total += np.outer(y, y)
 
@@ -178,9 +185,10 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
     fold = (space * idf[:, None]).astype(np.float32)
     rows = items.collect()  # at most slice_items short texts
     item_words = [words([r.text])[0] for r in rows]
-    passages, owner, weight, held = [], [], [], []
+    passages, owner, weight, held, ranges = [], [], [], [], []
     for i, h in enumerate(item_words):
-        for t, w in _rows(h, vocabulary, idf):
+        for t, w, place in _rows(h, vocabulary, idf):
+            ranges.append(place)
             passages.append((w @ space[t]).astype(np.float32))
             owner.append(i)
             weight.append(w @ w)
@@ -193,10 +201,10 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     square, enough = np.append(idf * idf, 0), (1 - 1e-9) * share * np.array(weight)
     answers = [len(words([_SENTENCE.split(r.text.strip())[-1]])[0]) if r.text else 0 for r in rows]
-    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, np.stack(held), np.array(owner), [r.item_id for r in rows], item_words, answers))
+    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, np.stack(held), np.array(owner), ranges, [r.item_id for r in rows], item_words, answers))
 
     def make():
-        vocabulary, fold, square, enough, p, held, owner, ids, item_words, answers = model.value
+        vocabulary, fold, square, enough, p, held, owner, ranges, ids, item_words, answers = model.value
         places, least = [], enough.min()
         for h in item_words:
             d: dict = {}
@@ -204,13 +212,15 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                 d.setdefault(int(h[k]), []).append(k)
             places.append(d)
 
-        def check(i: int, h: np.ndarray, at: int):
+        def check(i: int, k: int, h: np.ndarray, at: int):
             n = len(item_words[i])
             a = max(0, at - n)
             shared, where = longest_common(places[i], h[a : at + WINDOW + n].tolist())
             tail = min(answers[i], n)
             answer = tail > 0 and sum(k >= n - tail for k in where) >= 0.8 * tail
-            ok = shared == n if n < LEAST_WORDS else shared >= cover * n or (shared >= loose * n and answer)
+            lo, hi = ranges[k]
+            part = hi - lo == WINDOW and sum(lo <= x < hi for x in where) >= PASSAGE_COVER * WINDOW
+            ok = shared == n if n < LEAST_WORDS else shared >= cover * n or (shared >= loose * n and answer) or part
             return (shared, n, shared / n, answer) if ok else None
 
         def holding(v: np.ndarray, begin: np.ndarray, end: np.ndarray, w: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -273,7 +283,7 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                     c = int(windows[w])
                     d, i = int(doc[c]), int(owner[k])
                     start = (c - int(base[d])) * HALF
-                    got = check(i, h[first[d] : first[d] + n[d]], start)
+                    got = check(i, k, h[first[d] : first[d] + n[d]], start)
                     if got and got > best.get((d, i), ((),))[0]:
                         best[(d, i)] = (got, float(s[w, k]), start)
                 out += [(doc_ids[x + d], ids[i], c, g[0], g[1], g[2], g[3], at_) for (d, i), (g, c, at_) in sorted(best.items())]
