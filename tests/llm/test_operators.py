@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import additive_ann, bpe, chat_format, jaccard_join, language_id, latent_leaks, quality, secrets, shingles, token_counts, toxicity
+from ledgerlens.llm import additive_ann, base, bpe, chat_format, jaccard_join, language_id, latent_leaks, quality, secrets, shingles, token_counts, toxicity
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 R = random.Random(4)
@@ -98,11 +98,23 @@ def test_secrets(spark):
     assert clean.text.startswith("id [SECRET] and the_quick") and clean.n_chars == len(clean.text)
 
 
+def test_secrets_in_odd_rows(spark):
+    letters = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))
+    long = "é word " * 120_000 + letters + " deadbeefdeadbeef00 " + letters
+    rows = [(1, long), (1, long), (None, letters), (2, "x=" + letters), (3, "token=" + letters)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hex", F.lit("x")).withColumn("a`b", F.lit(1))
+    got = secrets.scan_secrets(df).collect()
+    at = long.index(letters)
+    assert [r.spans for r in got if r.doc_id == 1] == [f"markov:{at}:{at + 40},hex:{at + 41}:{at + 59},markov:{at + 60}:{at + 100}"] * 2
+    assert {r.doc_id: (r.n_assign, r.n_markov) for r in got if r.doc_id != 1} == {None: (0, 1), 2: (0, 1), 3: (1, 0)}
+    assert secrets.redact_secrets(df).columns == df.columns and secrets.scan_secrets(df.limit(0)).count() == 0
+
+
 def test_markov_tells_random_strings_from_identifiers():
     ratio, least = secrets.markov_model()
     rand, plain = secrets.labelled_samples(n=500, seed=99)
-    assert sum(secrets._score(ratio, x.encode()) >= least for x in rand) > 450
-    assert sum(secrets._score(ratio, x.encode()) >= least for x in plain) < 10
+    assert sum(secrets._score(ratio, np.frombuffer(x.encode(), np.uint8)) >= least for x in rand) > 450
+    assert sum(secrets._score(ratio, np.frombuffer(x.encode(), np.uint8)) >= least for x in plain) < 10
 
 
 # --- 8
@@ -216,6 +228,22 @@ def test_ann_recall_and_odd_vectors(spark):
     assert additive_ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_recall_when_few_rows_are_reranked(spark):
+    r = np.random.default_rng(31)
+    x = (r.standard_normal((3000, 32)) * r.uniform(0.3, 2, (3000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(3000)], "vec_id long, embedding array<float>")
+    got = additive_ann.search(df, rerank=100, sample_rows=2000).collect()  # of 3000: a thirtieth
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    near = {q: set(sorted((i for i in range(3000) if i != q), key=lambda i: (-s[q, i], i))[:20]) for q in range(0, 3000, 20)}
+    assert len(got) == 20 * len(near) and sum(g.vec_id in near[g.query_id] for g in got) >= 0.9 * len(got)
+
+
+def test_ann_takes_a_repeated_id_once(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (0, [1.0, 0.0]), (2, [0.7, 0.1])]
+    got = additive_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), codebooks=2, words=4).orderBy("rank").collect()
+    assert [(g.vec_id, g.score) for g in got] == [(2, 0.7), (1, 0.5)]
+
+
 # --- 6
 
 def test_leaks(spark):
@@ -228,6 +256,43 @@ def test_leaks(spark):
     assert latent_leaks.find_leaks(spark.createDataFrame(clean, "doc_id long, text string"), none).count() == 0
 
 
+def test_leaks_of_parts_of_items_odd_rows_and_empty_tables(spark):
+    items = [(i, prose(90, 300 + i)) for i in range(60)]
+    half = items[3][1].split()
+    rows = [(1, prose(40, 1) + " " + " ".join(half[16:52]) + " " + prose(40, 2)), (1, prose(9, 8) + " " + items[5][1]), (None, items[7][1]), (2, prose(80_000, 5) + " " + items[9][1] + " " + prose(20_000, 6)), (3, None), (4, prose(200, 7)), (5, items[11][1]), (5, items[11][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("coverage", F.lit("x")).withColumn("word", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = latent_leaks.find_leaks(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted([(1, 3), (1, 5), (None, 7), (2, 9), (5, 11), (5, 11)], key=repr)
+    kept = latent_leaks.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(repr(r.doc_id) for r in kept.collect()) == ["3", "4", "None"]
+    assert latent_leaks.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaks_equal_an_exact_scan(spark):
+    """Every document against every item by the longest common subsequence: items copied with every seventh word changed."""
+    items = [(i, prose(40, 4000 + i)) for i in range(120)]
+    r, rows = random.Random(3), []
+    for i, t in items:
+        w = [x if r.random() > 1 / 7 else f"other{r.randrange(10**6)}" for x in t.split()]
+        rows.append((i, prose(r.randrange(60), i) + " " + " ".join(w) + " " + prose(r.randrange(60), i + 900)))
+    rows += [(1000 + i, prose(120, 9000 + i)) for i in range(80)]
+    want = set()
+    for d, text in rows:
+        seen = text.split()
+        for i, t in items:
+            w = t.split()
+            places = {}
+            for k in range(len(w) - 1, -1, -1):
+                places.setdefault(w[k], []).append(k)
+            if set(w) & set(seen) and any(latent_leaks.longest_common(places, seen[a : a + 112])[0] >= 0.6 * len(w) for a in range(0, len(seen), 16)):
+                want.add((d, i))
+    got = {(x.doc_id, x.item_id) for x in latent_leaks.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    own = {(i, i) for i, _ in items} & want
+    assert len(own) >= 115 and len(own & got) >= 0.95 * len(own)
+    assert len(got - want) <= 0.02 * len(got)
+
+
 def test_longest_common_subsequence():
     r = random.Random(5)
     for _ in range(50):
@@ -277,6 +342,32 @@ def test_classifiers_on_held_out_rows(spark, op, label):
     assert none.count() == 404 and op.score(docs.limit(0), op.fit(docs.limit(0), labels)).count() == 0
 
 
+@pytest.mark.parametrize("op,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_rows(spark, op, label):
+    docs, labels = labelled(spark)
+    again = spark.createDataFrame([(3, "one id again and again", "x")] * 200 + [(None, "no id", "x"), (2000, "long " * 200_000 + "idiot moron", "x")], "doc_id long, text string, lang string")
+    docs = docs.unionByName(again).withColumn("label", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("words", F.lit(2))
+    assert base.text_sample(docs, labels, label, 50).count() == 50
+    got = op.score(docs, op.fit(docs, labels, rows=300)).collect()
+    assert len(got) == 606 and sum(r.doc_id == 3 for r in got) == 201
+    assert len({r.score for r in got if r.doc_id == 3}) <= 2 and {r.held_out for r in got if r.doc_id is None} == {False}
+    if op is toxicity:
+        assert next(r.predicted for r in got if r.doc_id == 2000) == 1
+        odd = docs.withColumnRenamed("words", "a`b")
+        assert toxicity.keep_clean(odd, toxicity.fit(odd, labels)).columns == odd.columns
+
+
+def test_language_id_on_odd_rows(spark):
+    rows = [(i, "abc def ghi " * 20, "aa") if i % 2 else (i, "uvw xyz rst " * 20, "bb") for i in range(60)] + [(7, "abc again", "aa")] * 200 + [(None, "uvw", "bb"), (100, "uvw xyz " * 300_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("marks", F.lit(1)).withColumn("turn", F.lit(1))
+    model = language_id.fit(df, per_language=10)
+    assert len(model["marks"]) <= 20
+    got = language_id.predict(df, model).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.lang_pred) for r in got} >= {(100, "bb"), (None, "bb"), (7, "aa")}
+    many = spark.createDataFrame([(i, chr(0x4E00 + i % 250) * 9, f"l{i % 250:03d}") for i in range(2000)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many)["langs"]) == 250 and language_id.predict(df.limit(0), model).count() == 0
+
+
 def test_language_id(spark):
     alphabets = {"aa": "abcdef", "bb": "defghi", "cc": "éèêabc"}
     r = random.Random(7)
