@@ -174,24 +174,45 @@ def with_stems(words) -> list[str]:
     return [*words, *("^" + w[:n] for w in words for n in STEMS if len(w) > n)]
 
 
-def spaced(tokens: list[str], channel: Channel) -> list[str]:
-    """Words spelled with a blank between their letters: a run as one word, and as the likeliest words."""
+def spaced(tokens: list[str], channel_of) -> list[str]:
+    """Words spelled with a blank between their letters: a run as one word, and as the likeliest words.
+    channel_of(letters): the channel to read them by, or None."""
     out, run = [], []
     for t in [*tokens, "  "]:
         if len(t) == 1:
             run.append(t)
         else:
-            if len(run) >= 4:
+            channel = channel_of("".join(run)) if len(run) >= 4 else None
+            if channel is not None:
                 out += [channel.decode("".join(run)), *channel.decode(" ".join(run), apart=True).split()]
             run = []
     return list(dict.fromkeys(w for w in out if w))
 
 
+def holding(lexicon) -> re.Pattern | None:
+    """Matches every token whose lattice could spell one of the lexicon's words or beginnings: each symbol gives one
+    letter at most, so the word's letters must be there in order, each as itself or as a sign that may stand for it."""
+    stands: dict = {}
+    for sign, letters in SIGNS.items():
+        for x in letters:
+            stands[x] = stands.get(x, "") + sign
+    step = lambda c: "[^{0}]*+[{0}]".format(re.escape(c + stands.get(c, "")))
+    words = dict.fromkeys(_base_letters(w.removeprefix("^")) for w in lexicon)
+    return re.compile("|".join("".join(map(step, w)) for w in words if w)) if words else None
+
+
 class Reader:
     """Restored words of texts, with a memory of at most `most` tokens seen, of 64 characters or fewer each."""
 
     def __init__(self, channel: Channel | None, lexicon: dict[str, int] | None, most: int = 150_000):
         self.channel, self.lexicon, self.most, self.seen = channel, lexicon, most, {}
+        self.held = holding(lexicon) if lexicon else None
+
+    def _channel(self, token: str) -> Channel | None:
+        """The channel, where the token could spell what the lexicon holds; decoding another would find nothing in it."""
+        if self.channel is None or self.lexicon is None:
+            return self.channel
+        return self.channel if self.held is not None and self.held.match(_base_letters(token)) else None
 
     def words(self, text: str) -> set:
         """All restored words and stems; with a lexicon, the numbers of those in it."""
@@ -200,7 +221,7 @@ class Reader:
         for t in set(tokens):
             w = seen.get(t)
             if w is None:
-                w = with_stems(plain_words(t, self.channel))
+                w = with_stems(plain_words(t, self._channel(t)))
                 if self.lexicon is not None:
                     w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
                 if len(t) <= 64:
@@ -210,7 +231,7 @@ class Reader:
             if w:
                 out.update(w)
         if self.channel is not None:
-            extra = with_stems(spaced(tokens, self.channel))
+            extra = with_stems(spaced(tokens, self._channel))
             out.update(extra if self.lexicon is None else (self.lexicon[x] for x in extra if x in self.lexicon))
         return out
 
