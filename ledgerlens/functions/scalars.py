@@ -13,6 +13,7 @@ MONTH_STEMS = {"январ": 1, "феврал": 2, "март": 3, "апрел":
 TOTAL_MARKS = {
     "calc": ("итого", "всего", "итог", "оборот за период", "к оплате всего"),
     "register": ("итого", "всего"),
+    "digest": ("итого", "всего", "оборот", "сальдо", "баланс", "к оплате", "сумма по", "итог", "total"),
 }
 #: Queue words and the figures that stand for them.
 QUEUE_WORDS = "(перв|втор|трет|четв|зареестр|текущ)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,8 +58,9 @@ def second_chance(left: DataFrame, right: DataFrame, first: str, second: list[st
 
 def catalog_order(docs: DataFrame, group: str, bundle: str, order: list[str]) -> DataFrame:
     """Package numbers NN by bundle within group, NN.kk within a bundle."""
-    w = Window.partitionBy(group)
-    d = docs.withColumn("nn", F.dense_rank().over(w.orderBy(bundle))).withColumn("kk", F.row_number().over(Window.partitionBy(group, bundle).orderBy(*order)))
+    # bundles are ranked among themselves, not over their members
+    ranked = docs.select(group, bundle).distinct().withColumn("nn", F.row_number().over(Window.partitionBy(group).orderBy(bundle)))
+    d = docs.join(ranked, [group, bundle]).withColumn("kk", F.row_number().over(Window.partitionBy(group, bundle).orderBy(*order)))
     return d.withColumn("label", F.concat_ws(".", F.lpad(F.col("nn").cast("string"), 2, "0"), F.lpad(F.col("kk").cast("string"), 2, "0")))
 
 
@@ -76,3 +77,43 @@ def delta(docs: DataFrame, snapshot: DataFrame, key: str, hash_: str) -> DataFra
 def event_counters(events: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
     """Distinct marks by key, from an append-only log that may repeat; distinct first, then a plain count."""
     return events.select(*keys, *marks).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def keyed_upsert(target: DataFrame, source: DataFrame, id_: str = "id") -> DataFrame:
+    """Each source row (source_id, number, dispute, folder) with the target row it goes to: by number and dispute, else by
+    folder; a number that is there under neither is a collision and goes nowhere; else a new row. Matches of more than
+    one target row are collisions too."""
+    def one(keys, name):
+        return target.dropna(subset=keys).groupBy(*keys).agg(F.min(id_).alias(f"{name}_id"), F.count("*").alias(f"{name}_n"))
+
+    j = source.join(one(["number", "dispute"], "key"), ["number", "dispute"], "left").join(one(["folder"], "folder"), "folder", "left")
+    j = j.join(target.select("number").where("number is not null").distinct().withColumn("known", F.lit(True)), "number", "left")
+    via = F.when(F.col("key_n") == 1, "key").when(F.col("key_n") > 1, "collision").when(F.col("folder_n") == 1, "folder").when((F.col("folder_n") > 1) | F.col("known"), "collision").otherwise("insert")
+    out = j.withColumn("via", via)
+    return out.select("source_id", F.when(F.col("via") == "key", F.col("key_id")).when(F.col("via") == "folder", F.col("folder_id")).alias("target_id"), "via")
+
+
+def shadow_duplicates(parties: DataFrame) -> DataFrame:
+    """(slug, by_tax_id, by_slug): parties kept twice, once under a tax id and once under their slug alone.
+    parties: (party_id, tax_id, slug)."""
+    with_id = parties.where("tax_id is not null").groupBy("slug").agg(F.min("party_id").alias("by_tax_id"))
+    bare = parties.where("tax_id is null").groupBy("slug").agg(F.min("party_id").alias("by_slug"))
+    return with_id.join(bare, "slug")
+
+
+def completeness(units: DataFrame, stated: DataFrame, key: str) -> DataFrame:
+    """Per package: how many units there are and what they sum up to, against what is stated; units of no package are
+    orphans, packages without units are empty. units: (key, amount); stated: (key, n, total)."""
+    u = units.groupBy(key).agg(F.count("*").alias("n_units"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("sum_units"))
+    j = u.join(stated.select(key, F.col("n").alias("stated_n"), F.col("total").cast("decimal(18,2)").alias("stated_total")), key, "full")
+    state = F.when(F.col("stated_n").isNull(), "orphan").when(F.col("n_units").isNull(), "empty").when(F.col("n_units") != F.col("stated_n"), "count").when(F.col("sum_units") != F.col("stated_total"), "total").otherwise("complete")
+    return j.select(key, F.coalesce("n_units", F.lit(0)).alias("n_units"), F.col("sum_units").cast("double").alias("sum_units"), state.alias("state"))
+
+
+def catalog_summary(docs: DataFrame, group: str) -> DataFrame:
+    return docs.groupBy(group).agg(F.count("*").alias("n"))
+
+
+def appended_once(have: Column, more: Column) -> Column:
+    """A list with what is new at its end."""
+    return F.array_union(F.coalesce(have, F.array()), F.coalesce(more, F.array()))

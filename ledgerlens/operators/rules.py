@@ -102,3 +102,102 @@ def delivered(returned: Column, proper_address: Column) -> Column:
 def by_priority(document: Column, tracker: Column) -> dict[str, Column]:
     """The document's value before the tracker's, with a flag where they differ."""
     return {"value": F.coalesce(document, tracker), "conflict": F.coalesce(document != tracker, F.lit(False))}
+
+
+#: Flat fees of the arbitration courts by kind of paper, for persons and for companies.
+FLAT = {
+    "contract": (15_000, 50_000), "unvalued": (15_000, 50_000), "non-normative": (10_000, 50_000), "creditor-bankruptcy": (10_000, 100_000),
+    "own-bankruptcy": (0, 0), "legal-fact": (30_000, 30_000), "succession": (5_000, 25_000), "writ-paper": (10_000, 10_000), "new-facts": (30_000, 30_000),
+    "interim-measure": (30_000, 30_000), "delay": (300, 6_000), "appeal": (10_000, 30_000), "cassation": (20_000, 50_000), "supreme": (30_000, 80_000),
+}
+#: Shares of the tiered fee.
+SHARES = {"separate-dispute": 0.5, "arbitral-writ": 0.3}
+#: Requests without a fee.
+FREE = ("indexation", "clerical-error", "astreinte", "lift-interim", "secure-evidence", "copies", "restore-term", "bailiff-fee")
+#: Limitation in months by category, and the utmost term from the breach.
+LIMITATION = {"general": 36, "voidable": 12, "void": 36, "carriage": 12, "works": 12, "buildings": 36, "property-insurance": 24, "pre-emption": 3, "labour": 3, "wages": 12}
+UTMOST = 120
+#: Stage of a case by its status.
+STAGES = {
+    "active": "1 инстанция", "suspended": "1 инстанция (приостановлено)", "pending_appeal": "Апелляция", "pending_cassation": "Кассация", "pending_settlement": "Примирение",
+    "settled": "Завершено (мировое)", "withdrawn": "Завершено (отказ)", "enforcement": "Исполнение", "completed": "Решение вступило в силу", "archived": "Закрыто",
+}
+#: The shard of a category, and the court that a category is routed to.
+SHARDS = {
+    "исковое (АПК)": "исковое-АПК", "экономические споры": "исковое-АПК", "банкротство": "банкротство", "корпоративный спор": "корпоративный-спор",
+    "административное (АПК)": "административное-АПК", "исковое (ГПК)": "исковое-ГПК", "трудовой спор": "трудовой-спор", "административное (КАС)": "административное-КАС",
+}
+ROUTES = {
+    "исковое (АПК)": "арбитражный", "экономические споры": "арбитражный", "банкротство": "банкротный", "корпоративный спор": "арбитражный",
+    "административное (АПК)": "арбитражный", "исковое (ГПК)": "СОЮ", "трудовой спор": "СОЮ", "административное (КАС)": "КАС",
+}
+#: Terms of complaints by court and instance, in months; and short terms in days.
+TERMS = {("general", "appeal"): 1, ("general", "cassation"): 3, ("general", "supreme"): 3, ("general", "supervision"): 3, ("insolvency", "appeal"): 1, ("insolvency", "cassation"): 2, ("insolvency", "supreme"): 2}
+SHORT_TERMS = {"bailiff": 10, "removal": 10, "public-event": 10, "dissolution": 10}
+
+
+def lookup(key: Column, table: dict) -> Column:
+    """The table's value for a key; null for any other key and for null."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
+def flat_fee(kind: Column, company: Column) -> Column:
+    """The flat fee of a kind of paper; null for a kind that has none."""
+    return F.when(company, lookup(kind, {k: v[1] for k, v in FLAT.items()})).otherwise(lookup(kind, {k: v[0] for k, v in FLAT.items()})).cast("double")
+
+
+def shared_fee(kind: Column, price: Column) -> Column:
+    """A share of the tiered fee, for kinds that are charged so; an order is half of it, 8 000 at least."""
+    return F.when(kind == "order", order_fee(price)).otherwise(cents(arbitration_fee(price) * lookup(kind, SHARES)))
+
+
+def request_fee(kind: Column, fee: Column) -> Column:
+    """Each request bears its own fee; those of the list bear none."""
+    return F.when(kind.isin(*FREE), F.lit(0.0)).otherwise(fee)
+
+
+def claim_ready(start_from: Column, sent: Column, received: Column, registered: Column, wait_days: Column) -> Column:
+    """From when a claim may be filed: the waiting term (30 days where none is named) from the point the rule names;
+    null while that date is not known."""
+    start = F.when(start_from == "receipt", received).when(start_from == "registration", registered).otherwise(sent)
+    return F.date_add(start, F.coalesce(wait_days, F.lit(30)).cast("int"))
+
+
+def limitation_end(category: Column, known: Column, breached: Column) -> Column:
+    """The end of the limitation, ten years after the breach at the latest; unknown categories: the general term."""
+    months = F.coalesce(lookup(category, LIMITATION), F.lit(LIMITATION["general"]))
+    return F.least(F.add_months(known, months), F.add_months(breached, UTMOST))
+
+
+def stage(status: Column) -> Column:
+    return lookup(status, STAGES)
+
+
+def outcome(source: Column, value: Column) -> Column:
+    """granted, partial, denied or null, by what the card says of the paper; anything else is null, never a guess."""
+    complaint = F.when(value.isin("overturned", "modified"), "granted").when(value.isin("upheld", "dismissed"), "denied")
+    adjusted = F.when(value.isin("granted", "partial", "denied"), value)
+    return F.when(source.isin("appeal", "cassation"), complaint).when(source == "adjustment", adjusted).when((source == "status") & value.isin("settled", "withdrawn"), "granted")
+
+
+def shard(category: Column) -> Column:
+    """The file of a category by the closed table; a category outside it has none."""
+    return lookup(category, SHARDS)
+
+
+def route(category: Column) -> Column:
+    return lookup(category, ROUTES)
+
+
+def complaint_deadline(court: Column, instance: Column, decided: Column) -> Column:
+    """By court and instance, in months; null where the table has no such term."""
+    return F.add_months(decided, lookup(F.concat_ws("/", court, instance), {"/".join(k): v for k, v in TERMS.items()}))
+
+
+def short_deadline(kind: Column, known: Column) -> Column:
+    return F.date_add(known, lookup(kind, SHORT_TERMS))
+
+
+def file_name_key(name: Column) -> Column:
+    """File names compare by this, not by bytes: lower case, ё as е, runs of blanks and underscores as one blank."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(name), "ё", "е"), r"[\s_]+", " "))

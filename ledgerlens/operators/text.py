@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers as words, nominative.
-NUMBER_WORDS = {"один": 1, "два": 2, "три": 3, "четыре": 4, "пять": 5, "шесть": 6, "семь": 7, "восемь": 8, "девять": 9, "десять": 10}
-#: Verbs whose negation turns a norm round, and pairs of modes.
-NEGATABLE = ("вправе", "обязан", "может", "должен", "допускается", "подлежит", "применяется", "требуется")
-
 
 def fold(text) -> Column:
     """Lower case, signs and white space as single blanks, padded, so that containment respects words."""
@@ -17,44 +12,6 @@ def fold(text) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def contained(quotes: DataFrame, corpus: DataFrame, gram: int = 4) -> DataFrame:
-    """(quote_id, doc_id) for each quote whose folded text lies in a folded document.
-
-    The theta join is an equi join on one word n-gram of the quote (its rarest in the corpus, so that a
-    common phrase gathers nothing), then verified. Only n-grams that some quote holds leave the scan's
-    stage; quotes too short for one are compared by their first word."""
-    words = lambda c: F.filter(F.split(F.trim(c), " "), lambda w: w != "")
-    grams = lambda w: F.when(F.size(w) >= gram, F.transform(F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.array_join(F.slice(w, i, gram), " "))).otherwise(F.slice(w, 1, 1))
-    split = lambda df, t: df.withColumn("w", words(F.col(t)))  # noqa: E731  a column of its own: lambdas would split anew for each n-gram
-    q = split(quotes.select("quote_id", fold("text").alias("q")), "q").where("size(w) > 0")
-    short = q.where(F.size("w") < gram)
-    held = q.where(F.size("w") >= gram).select("quote_id", "q", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    c = split(corpus.select("doc_id", fold("text").alias("t")), "t")
-    inside = c.select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g")).join(held.select("g").distinct(), "g", "left_semi")
-    df = inside.groupBy("g").agg(F.count("*").alias("df"))
-    rarest = held.join(df, "g", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "g")).alias("k")).select("quote_id", F.col("k.g").alias("g"))
-    pairs = inside.join(rarest, "g").select("quote_id", "doc_id").distinct()
-    sure = pairs.join(q.select("quote_id", "q"), "quote_id").join(c.select("doc_id", "t"), "doc_id").where(F.contains("t", "q")).select("quote_id", "doc_id").distinct()
-    firsts = c.select("doc_id", "t", F.explode(F.array_distinct("w")).alias("g"))
-    few = short.select("quote_id", "q", F.element_at("w", 1).alias("g")).join(firsts, "g").where(F.contains("t", "q")).select("quote_id", "doc_id").distinct()
-    return sure.unionByName(few)
-
-
-def ordered_fragments(text: Column, fragments: Column) -> Column:
-    """Whether all fragments occur in the text one after another."""
-    at_or_after = lambda f, at: F.call_function("locate", f, text, at)
-    step = lambda at, f: F.when((at > 0) & (at_or_after(f, at) > 0), at_or_after(f, at) + F.length(f)).otherwise(0)
-    return F.aggregate(fragments, F.lit(1), step) > 0
-
-
-def quote_fragments(quote: Column, least: int = 15) -> Column:
-    return F.filter(F.transform(F.split(quote, r"(?:…|\.\.\.)"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
-
-
-def quotations(text: Column, least: int = 40) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit("«([^»]+)»"), 1), lambda x: F.length(x) >= least)
-
-
 def coverage(items: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: how many items there are, how many are used, and used ones that do not exist."""
     i, u = items.select(*keys, "item").distinct().withColumn("is_item", F.lit(1)), used.select(*keys, "item").distinct().withColumn("is_used", F.lit(1))
@@ -63,10 +20,15 @@ def coverage(items: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.count_if(a).alias("n_items"), F.count_if(a & b).alias("n_used"), F.count_if(a & ~b).alias("n_missing"), F.count_if(~a & b).alias("n_ghost"))
 
 
-def fold_ranges(numbers: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """Consecutive integers as ranges."""
-    d = numbers.select(*keys, n).distinct().withColumn("_i", F.col(n) - F.row_number().over(Window.partitionBy(*keys).orderBy(n)))
-    return d.groupBy(*keys, "_i").agg(F.min(n).alias("first"), F.max(n).alias("last")).drop("_i")
+def fold_ranges(numbers: DataFrame, keys: list[str], n: str = "n", block: int = 65_536) -> DataFrame:
+    """Consecutive integers as ranges: first within blocks of `block` numbers, a window each; then the blocks' ranges, far
+    fewer, are joined where one begins right after another ends."""
+    d = numbers.select(*keys, n).distinct().withColumn("_b", F.floor(F.col(n) / block))
+    d = d.withColumn("_i", F.col(n) - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(n)))
+    local = d.groupBy(*keys, "_b", "_i").agg(F.min(n).alias("first"), F.max(n).alias("last"))
+    w = Window.partitionBy(*keys).orderBy("first")
+    joined = local.withColumn("_run", F.sum(F.when(F.lag("last").over(w) == F.col("first") - 1, 0).otherwise(1)).over(w))
+    return joined.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
 
 
 def nearest_before(points: DataFrame, marks: DataFrame, keys: list[str], reach: int) -> DataFrame:
@@ -92,57 +54,11 @@ def state_of_lines(lines: DataFrame, keys: list[str], mark: Column, name: str =
     return lines.withColumn(name, F.last(mark, ignorenulls=True).over(w)).withColumn("fenced", fence == 1)
 
 
-def claimed_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines that announce a number of points («три условия:») against the list that follows them."""
-    number = F.lit(None).cast("int")
-    for w, n in NUMBER_WORDS.items():
-        number = F.when(F.lower("text").rlike(rf"(^|[^\p{{L}}]){w}[^\p{{L}}].*:\s*$"), n).otherwise(number)
-    item = F.col("text").rlike(r"^\s*([-*•]|[0-9]+[.)])\s+")
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    marked = lines.withColumn("_claim", number).withColumn("_item", item).withColumn("_blank", F.trim("text") == "")
-    breaks = (~F.col("_item") & ~F.col("_blank")).cast("int")
-    m = marked.withColumn("_block", F.sum(breaks).over(w))
-    heads = m.where("_claim is not null").select(*keys, "_block", "line_no", "_claim")
-    counts = m.where("_item").groupBy(*keys, "_block").agg(F.count("*").alias("listed"))
-    return heads.join(counts, [*keys, "_block"]).select(*keys, "line_no", F.col("_claim").alias("claimed"), "listed").withColumn("ok", F.col("claimed") == F.col("listed"))
-
-
 def split_top_level(text: Column) -> Column:
     """Parts of a list at «;», but not inside parentheses or guillemets."""
     safe = F.regexp_replace(text, r"[(][^()]*[)]|«[^«»]*»", "")
     return F.size(F.filter(F.split(safe, ";"), lambda x: F.trim(x) != ""))
 
 
-def links(text: Column) -> Column:
-    """Local Markdown link targets outside code: no scheme, no anchor, line suffix cut."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", ""), r"`[^`]*`", "")
-    t = F.transform(F.regexp_extract_all(bare, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), 1), lambda x: F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r":[0-9]+$", ""))
-    return F.array_distinct(F.filter(t, lambda x: (x != "") & ~x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")))
-
-
 def hrefs(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), 1))
-
-
-def norm_keys(text: Column) -> Column:
-    """Norms named in a text: article, item, chapter with their numbers."""
-    a = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^\p{L}])ст(?:\.|атьи|атья|атье|атьёй)\s*([0-9]+(?:\.[0-9]+)*)"), 1), lambda x: F.concat(F.lit("ст."), x))
-    p = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[^\p{L}])п(?:\.|ункт|ункта|ункте)\s*([0-9]+(?:\.[0-9]+)*)"), 1), lambda x: F.concat(F.lit("п."), x))
-    return F.array_distinct(F.concat(a, p))
-
-
-def polarity(text: Column) -> Column:
-    """For each verb that can be negated: whether the text affirms (+1) or negates (-1) it."""
-    t = F.lower(text)
-    each = [F.when(t.rlike(rf"(^|[^\p{{L}}])не\s+{v}"), F.struct(F.lit(v).alias("axis"), F.lit(-1).alias("side"))).when(t.rlike(rf"(^|[^\p{{L}}]){v}"), F.struct(F.lit(v).alias("axis"), F.lit(1).alias("side"))) for v in NEGATABLE]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
-
-
-def contradictions(fragments: DataFrame, largest: int = 60) -> DataFrame:
-    """Pairs of fragments that name one norm and take opposite sides on one axis. Norms named in more than
-    `largest` fragments are no evidence, by the rule itself, and are told apart before the join."""
-    each = fragments.select("frag_id", F.explode(norm_keys(F.col("text"))).alias("norm"), polarity(F.col("text")).alias("p"))
-    small = each.groupBy("norm").agg(F.count("*").alias("_n")).where((F.col("_n") <= largest) & (F.col("_n") > 1)).select("norm")
-    sides = each.join(small, "norm").select("frag_id", "norm", F.explode("p").alias("p")).select("frag_id", "norm", "p.axis", "p.side")
-    a, b = sides.where("side = 1").withColumnRenamed("frag_id", "affirms").drop("side"), sides.where("side = -1").withColumnRenamed("frag_id", "denies").drop("side")
-    return a.join(b, ["norm", "axis"]).where("affirms <> denies").distinct()

@@ -299,22 +299,6 @@ def doc_soft_dups(spark, d):
     return reconcile.duplicate_groups(read(spark, d, "documents"), S.soft_key("text"), "doc_id")
 
 
-_FOLD = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
-
-
-@query(f"SELECT DISTINCT q.item_id AS quote_id, c.doc_id FROM (SELECT item_id, {_FOLD} q FROM benchmark) q JOIN (SELECT doc_id, {_FOLD} t FROM documents) c ON contains(c.t, q.q)")
-def quote_in_corpus(spark, d):
-    return text.contained(read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"), read(spark, d, "documents"))
-
-
-@query(f"""SELECT g, COUNT(*) AS n_items, COUNT(*) FILTER (used) AS n_used, COUNT(*) FILTER (NOT used) AS n_missing, CAST(0 AS BIGINT) AS n_ghost FROM
- (SELECT item_id % 5 AS g, EXISTS (SELECT 1 FROM (SELECT {_FOLD} t FROM documents) c WHERE contains(c.t, q.q)) AS used FROM (SELECT item_id, {_FOLD} q FROM benchmark) q) GROUP BY 1""")
-def coverage_missing(spark, d):
-    b = read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    used = text.contained(b, read(spark, d, "documents")).select((F.col("quote_id") % 5).alias("g"), F.col("quote_id").alias("item"))
-    return text.coverage(b.select((F.col("quote_id") % 5).alias("g"), F.col("quote_id").alias("item")), used, ["g"])
-
-
 @query("""SELECT page_id, UNNEST(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS href FROM pages""")
 def links_extract(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(text.hrefs(F.col("html"))).alias("href"))
@@ -400,11 +384,11 @@ def catalog_numbers(spark, d):
 
 
 @query("""SELECT s.s_suppkey, COALESCE(a.id1, b.id2) AS match_id, CASE WHEN a.id1 IS NOT NULL THEN 'key' WHEN b.id2 IS NOT NULL THEN 'fields' END AS via FROM (SELECT s_suppkey, s_suppkey * 37 AS k, s_nationkey, CAST(FLOOR(s_acctbal / 1000) AS BIGINT) AS th FROM supplier) s
- LEFT JOIN (SELECT c_custkey AS k, MIN(c_custkey) AS id1 FROM customer WHERE c_custkey < 500 GROUP BY 1) a ON s.k = a.k
- LEFT JOIN (SELECT c_nationkey AS n, CAST(FLOOR(c_acctbal / 1000) AS BIGINT) AS th, MIN(c_custkey) AS id2 FROM customer WHERE c_custkey < 500 GROUP BY 1, 2 HAVING COUNT(*) = 1) b ON s.s_nationkey = b.n AND s.th = b.th""")
+ LEFT JOIN (SELECT c_custkey AS k, MIN(c_custkey) AS id1 FROM customer GROUP BY 1) a ON s.k = a.k
+ LEFT JOIN (SELECT c_nationkey AS n, CAST(FLOOR(c_acctbal / 1000) AS BIGINT) AS th, MIN(c_custkey) AS id2 FROM customer GROUP BY 1, 2 HAVING COUNT(*) = 1) b ON s.s_nationkey = b.n AND s.th = b.th""")
 def appendix_lookup(spark, d):
     s = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37).alias("k"), F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 1000).alias("th"))
-    c = read(spark, d, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 1000).alias("th"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 1000).alias("th"))
     return reconcile.second_chance(s, c, "k", ["n", "th"], "id").select("s_suppkey", "match_id", "via")
 
 
@@ -471,14 +455,6 @@ def other_deadlines(spark, d):
     return read(spark, d, "orders").select("o_orderkey", rules.cassation_deadline(o, F.when(s == "F", "ruling")).alias("cassation"), rules.register_close(o, F.when(s == "O", "observation")).alias("register_close"), rules.writ_deadline(o, F.lit(None).cast("date")).alias("writ"))
 
 
-@query()
-def norm_polarity_pairs(spark, d):
-    """Fragments in the language of norms, made from all line items; parts and orders are the norms, so their number grows with the table."""
-    frag = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))  # order and line alone repeat in these tables
-    li = read(spark, d, "lineitem").select(frag.alias("frag_id"), F.concat(F.lit("По п. "), F.col("l_partkey").cast("string"), F.lit(" ст. "), F.col("l_orderkey").cast("string"), F.lit(" кредитор "), F.when(F.col("l_returnflag") == "R", "не вправе").otherwise("вправе"), F.lit(" требовать")).alias("text"))
-    return text.contradictions(li)
-
-
 # --- ingest
 
 @query("""SELECT k, COUNT(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'pages' WHEN 2 THEN 'image' WHEN 3 THEN 'refused' ELSE 'unknown' END AS k FROM documents) GROUP BY k""")
@@ -487,13 +463,13 @@ def file_kinds(spark, d):
     return read(spark, d, "documents").select(triage.file_kind(suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-_PAGES = """SELECT doc_id, p AS page, CASE WHEN (doc_id + p) % 3 = 0 THEN '' ELSE text END AS text, (doc_id + p) % 2 = 0 AS has_images FROM documents, (SELECT UNNEST(range(1, 41)) AS p) WHERE doc_id % 50 = 0"""
+_PAGES = """SELECT doc_id, p AS page, CASE WHEN (doc_id + p) % 3 = 0 THEN '' ELSE text END AS text, (doc_id + p) % 2 = 0 AS has_images FROM documents, (SELECT UNNEST(range(1, 41)) AS p)"""
 
 
 @query(f"""WITH s AS (SELECT doc_id, page, length(trim(text, ' ')) < 40 AND has_images AS need FROM ({_PAGES})), g AS (SELECT doc_id, COUNT(*) AS n_pages, list(page ORDER BY page) FILTER (need) AS need FROM s GROUP BY doc_id)
  SELECT doc_id, n_pages, CAST(COALESCE(len(need), 0) AS INT) AS n_need, CASE WHEN len(need) > 5 THEN array_to_string(list_concat(need[1:3], need[-1:]), ',') ELSE COALESCE(array_to_string(need, ','), '') END AS look_at, COALESCE(len(need), 0) > 5 AS structural FROM g""")
 def vision_directives(spark, d):
-    t = read(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("page"))
+    t = read(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("page"))
     k = F.col("doc_id") + F.col("page")
     pages = t.select("doc_id", "page", F.when(k % 3 == 0, "").otherwise(F.col("text")).alias("text"), (k % 2 == 0).alias("has_images"))
     return triage.vision_pages(pages, "doc_id", limit=5, head=3).withColumn("look_at", F.array_join(F.transform("look_at", lambda x: x.cast("string")), ","))
@@ -507,12 +483,12 @@ def contents_resolve(spark, d):
     return triage.resolve_contents(w, c, "k")
 
 
-@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_orderstatus AS relation, o_orderpriority AS doc_type, [o_custkey % 400, o_orderkey % 300 + 1000] AS norms FROM orders WHERE o_orderkey % 10 = 0),
+@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_orderstatus AS relation, o_orderpriority AS doc_type, [o_custkey % 400, o_orderkey % 300 + 1000] AS norms FROM orders),
  s AS (SELECT s_suppkey AS sample_id, CASE s_suppkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END AS relation, '1-URGENT' AS doc_type, [s_suppkey * 3, s_suppkey + 1000] AS norms FROM supplier),
  o AS (SELECT doc_id, sample_id, COUNT(*) AS shared FROM (SELECT doc_id, UNNEST(norms) AS n FROM d) a JOIN (SELECT sample_id, UNNEST(norms) AS n FROM s) b USING (n) GROUP BY 1, 2)
  SELECT doc_id, sample_id, shared, 'norms' AS via FROM o UNION ALL SELECT d.doc_id, s.sample_id, 0, 'type' FROM d JOIN s ON d.relation = s.relation AND d.doc_type = s.doc_type WHERE d.doc_id NOT IN (SELECT doc_id FROM o)""")
 def sample_match(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("relation"), F.col("o_orderpriority").alias("doc_type"), F.array(F.col("o_custkey") % 400, F.col("o_orderkey") % 300 + 1000).alias("norms"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("relation"), F.col("o_orderpriority").alias("doc_type"), F.array(F.col("o_custkey") % 400, F.col("o_orderkey") % 300 + 1000).alias("norms"))
     k = F.col("s_suppkey")
     s = read(spark, d, "supplier").select(k.alias("sample_id"), F.when(k % 3 == 0, "O").when(k % 3 == 1, "F").otherwise("P").alias("relation"), F.lit("1-URGENT").alias("doc_type"), F.array(k * 3, k + 1000).alias("norms"))
     return triage.matching_samples(o, s)
@@ -544,3 +520,6 @@ def sheet_findings(spark, d):
 
     o = read(spark, d, "orders").select(F.lit("orders.xlsx").alias("file"), F.col("o_orderpriority").alias("sheet"), (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.format_string("77%08d", F.col("o_custkey") % 900), F.format_string("%.2f", "o_totalprice")).alias("cells"))
     return profiles.analyze(o, ["Дата", "Контрагент", "ИНН", "Сумма"], "payments", anchor=ANCHOR).select("file", "sheet", "code", "severity", "message", F.to_json("cells").alias("cells"), F.to_json("numbers").alias("numbers"))
+
+
+from . import corpus_queries  # noqa: E402, F401  registers its queries here

@@ -25,14 +25,48 @@ def write_catalog(samples: DataFrame, path: str) -> None:
     samples.write.mode("append").partitionBy("category_slug").parquet(path)
 
 
-def replace(rows: DataFrame, path: str) -> None:
-    """Write beside, then swap by rename, so a reader sees the old rows or the new ones; keeps the old beside."""
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Mirrors of documents: (file, text) as plain text, a folder for each file name, so names need no list on the driver."""
+    texts.select("file", "text").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
+
+
+def with_provenance(texts: DataFrame, mark: str = "## Примечания") -> DataFrame:
+    """(file, text): corpus texts below a header of where they come from, with the notes (if any) at the end, behind a mark.
+    texts: (file, source_url, fetched, reason, body, notes)."""
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in ("source_url", "fetched", "reason")])
+    tail = F.when(F.coalesce("notes", F.lit("")) != "", F.concat(F.lit(f"\n{mark}\n"), "notes")).otherwise("")
+    return texts.select("file", F.concat(head, F.lit("\n\n"), "body", tail).alias("text"))
+
+
+def manifest(files: DataFrame, package: str) -> DataFrame:
+    """One row for each package: how many files it has, their bytes, and a digest of their names and contents in order.
+    files: (package, label, content_hash, n_bytes)."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "content_hash"))), lambda x: F.concat(x["label"], F.lit(" "), x["content_hash"])), "\n")
+    return files.groupBy(package).agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.sha2(parts, 256).alias("digest"))
+
+
+def replace(rows: DataFrame, path: str, keep: int = 5) -> None:
+    """Write beside, read back, then swap by rename. The table before becomes a numbered copy, of which the `keep` newest
+    stay; where the second rename fails, the copy goes back to its place. Between the two renames there is no table
+    under the name, so readers that must not see that moment read through a lock or a table format."""
     spark = rows.sparkSession
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     rows.write.parquet(staged)
     P = spark._jvm.org.apache.hadoop.fs.Path
     fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(P(path)):
-        fs.delete(P(f"{path}.previous"), True)
-        fs.rename(P(path), P(f"{path}.previous"))
-    fs.rename(P(staged), P(path))
+    back = spark.read.parquet(staged)
+    if back.dtypes != rows.dtypes:
+        fs.delete(P(staged), True)
+        raise ValueError("what was written reads back with other columns")
+    back.count()
+    copies = sorted(int(n) for f in fs.listStatus(P(path).getParent()) for n in [f.getPath().getName().removeprefix(P(path).getName() + ".copy-")] if n.isdigit())
+    copy = P(f"{path}.copy-{(copies[-1] if copies else 0) + 1}")
+    had = fs.exists(P(path))
+    if had:
+        fs.rename(P(path), copy)
+    if not fs.rename(P(staged), P(path)):
+        if had:
+            fs.rename(copy, P(path))
+        raise OSError(f"{staged} could not take the place of {path}")
+    for n in copies[: max(0, len(copies) + had - keep)]:
+        fs.delete(P(f"{path}.copy-{n}"), True)

@@ -202,18 +202,83 @@ def header_rows(sheets: DataFrame, look: int = 20) -> DataFrame:
     return good.groupBy("file", "sheet").agg(F.max_by("row_no", F.struct("_s", -F.col("row_no"))).alias("header_row"))
 
 
+def trimmed(sheets: DataFrame) -> DataFrame:
+    """Sheets without the empty rows at their ends."""
+    full = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    last = sheets.where(full).groupBy("file", "sheet").agg(F.max("row_no").alias("last_row"))
+    return sheets.join(last, ["file", "sheet"]).where("row_no <= last_row").drop("last_row")
+
+
+def padded(sheets: DataFrame) -> DataFrame:
+    """Rows filled up with empty cells to their sheet's width, so that no value moves to the left."""
+    width = sheets.groupBy("file", "sheet").agg(F.max(F.size("cells")).alias("width"))
+    fill = F.array_repeat(F.lit(""), F.col("width") - F.size("cells"))
+    return sheets.join(width, ["file", "sheet"]).withColumn("cells", F.concat(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), fill)).drop("width")
+
+
 def digest(sheets: DataFrame, sample: int = 15, totals: int = 20) -> DataFrame:
-    """Structural digest of each sheet: size, header, first rows, total rows."""
-    from ledgerlens.functions.scalars import is_total_row
+    """Structural digest of each sheet: size, header, first rows, total rows (a wider set of marks than the calculation's),
+    and the first and last date of its first column that holds dates in most rows."""
+    from ledgerlens.functions.scalars import is_total_row, parse_date
     from pyspark.sql import Window
 
     heads = header_rows(sheets)
     s = sheets.join(heads, ["file", "sheet"], "left").withColumn("joined", F.array_join("cells", " "))
     w = Window.partitionBy("file", "sheet").orderBy("row_no")
-    s = s.withColumn("is_total", is_total_row("joined")).withColumn("_total_no", F.sum(F.col("is_total").cast("int")).over(w))
     after = F.col("row_no") > F.col("header_row")
+    s = s.withColumn("is_total", is_total_row("joined", "digest") & F.coalesce(after, F.lit(True))).withColumn("_total_no", F.sum(F.col("is_total").cast("int")).over(w))
     pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("row_no", "cells"))))
-    return s.groupBy("file", "sheet").agg(F.max("row_no").alias("rows"), F.max(F.size("cells")).alias("cols"), F.max("header_row").alias("header_row"), F.max(F.when(F.col("row_no") == F.col("header_row"), F.col("cells"))).alias("header"), pick(after & (F.col("row_no") <= F.col("header_row") + sample)).alias("sample"), pick(F.col("is_total") & (F.col("_total_no") <= totals)).alias("totals"), F.sum("stale_formulas").alias("stale_formulas"))
+    out = s.groupBy("file", "sheet").agg(F.max("row_no").alias("rows"), F.max(F.size("cells")).alias("cols"), F.max("header_row").alias("header_row"), F.max(F.when(F.col("row_no") == F.col("header_row"), F.col("cells"))).alias("header"), pick(after & (F.col("row_no") <= F.col("header_row") + sample)).alias("sample"), pick(F.col("is_total") & (F.col("_total_no") <= totals)).alias("totals"), F.sum("stale_formulas").alias("stale_formulas"))
+    cells = s.where(after).select("file", "sheet", F.posexplode("cells").alias("col", "cell")).where("trim(cell) <> ''")
+    dated = cells.withColumn("d", parse_date("cell")).groupBy("file", "sheet", "col").agg(F.count("*").alias("n"), F.count("d").alias("dates"), F.min("d").alias("date_min"), F.max("d").alias("date_max"))
+    first = dated.where("dates >= 2 and dates * 2 > n").groupBy("file", "sheet").agg(F.min(F.struct("col", "date_min", "date_max")).alias("r")).select("file", "sheet", F.col("r.col").alias("date_col"), "r.date_min", "r.date_max")
+    return out.join(first, ["file", "sheet"], "left")
+
+
+def ingest_csv(sheets: DataFrame, fulltext_rows: int = 300) -> DataFrame:
+    """(file, rows, fulltext): small CSV tables go on as text, larger ones as a digest."""
+    return trimmed(sheets).groupBy("file").agg(F.count("*").alias("rows")).withColumn("fulltext", F.col("rows") <= fulltext_rows)
+
+
+def digest_document(digests: DataFrame) -> DataFrame:
+    """(file, text): a Markdown document of each file's digests, sheet after sheet."""
+    from ledgerlens.functions.scalars import markdown_escape
+
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: markdown_escape(c)), " | "), F.lit(" |"))
+    listed = lambda rows: F.transform(rows, lambda r: line(F.concat(F.array(r["row_no"].cast("string")), r["cells"])))
+    some = lambda title, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(""), F.lit(title)), listed(rows))).otherwise(F.array().cast("array<string>"))
+    top = F.array(F.concat(F.lit("## "), "sheet"), F.concat(F.lit("rows: "), F.col("rows").cast("string"), F.lit(", columns: "), F.col("cols").cast("string")))
+    dates = F.when(F.col("date_min").isNotNull(), F.array(F.concat(F.lit("dates: "), F.col("date_min").cast("string"), F.lit(" to "), F.col("date_max").cast("string")))).otherwise(F.array().cast("array<string>"))
+    head = F.when(F.col("header").isNotNull(), F.array(line(F.concat(F.array(F.lit("row")), "header")))).otherwise(F.array().cast("array<string>"))
+    body = F.array_join(F.concat(top, dates, head, some("first rows:", F.col("sample")), some("total rows:", F.col("totals"))), "\n")
+    parts = digests.select("file", F.struct("sheet", body.alias("body")).alias("p")).groupBy("file").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return parts.select("file", F.concat(F.lit("# "), "file", F.lit("\n\n"), F.array_join("p.body", "\n\n"), F.lit("\n")).alias("text"))
+
+
+def anchor_date(card: str, path: tuple[str, ...] = ("case", "bankruptcy", "case_opened_date")):
+    """(date, reason): one value of a card of nested `key: value` lines; without one, why there is none."""
+    from datetime import date
+
+    depth, at = -1, 0
+    for raw in card.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        if at and indent <= depth:
+            break  # the block has ended
+        key, _, value = line.strip().partition(":")
+        if key == path[at] and (at == 0) == (indent == 0):
+            depth, at = indent, at + 1
+            if at == len(path):
+                value = value.strip().strip("\"'")
+                if value in ("", "null", "~"):
+                    return None, "the field is empty"
+                try:
+                    return date.fromisoformat(value), None
+                except ValueError:
+                    return None, f"{value!r} is no date"
+    return None, "there is no such field"
 
 
 def as_markdown(sheets: DataFrame, most_columns: int = 12) -> DataFrame:

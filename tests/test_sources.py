@@ -1,5 +1,6 @@
 """File sources, digests and text operators on small files."""
 
+import hashlib
 import zipfile
 
 from pyspark.sql import functions as F
@@ -49,24 +50,48 @@ def test_html():
     assert html.parse("<nav>menu</nav><div>a <b>b</b></div><script>x</script><p>c</p>") == ("a b\nc", "menux")
 
 
-def test_text_rules(spark):
-    one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(text.links(F.lit("[a](b.md:12) `[x](y)` [c](http://z) [d](#e) [f](g.md#h)"))) == ["b.md", "g.md"]
-    assert one(text.ordered_fragments(F.lit("альфа бета гамма"), F.array(F.lit("альфа"), F.lit("гамма")))) is True
-    assert one(text.ordered_fragments(F.lit("альфа бета гамма"), F.array(F.lit("гамма"), F.lit("альфа")))) is False
-    assert one(text.norm_keys(F.lit("по п. 2 ст. 61.3"))) == ["ст.61.3", "п.2"]
-    f = spark.createDataFrame([(1, "по ст. 61.3 кредитор вправе"), (2, "ст. 61.3: кредитор не вправе"), (3, "ст. 9 не вправе")], "frag_id long, text string")
-    assert [(r.affirms, r.denies, r.norm) for r in text.contradictions(f).collect()] == [(1, 2, "ст.61.3")]
-    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["Есть три условия:", "", "- a", "- b", "конец", "Названы два срока:", "1) a", "2) b"])], "doc long, line_no int, text string")
-    assert [(r.claimed, r.listed, r.ok) for r in text.claimed_counts(lines, ["doc"]).orderBy("line_no").collect()] == [(3, 2, False), (2, 2, True)]
-    assert one(text.split_top_level(F.lit("а (б; в); г «д; е»; ж"))) == 3
+def test_split_top_level(spark):
+    assert spark.range(1).select(text.split_top_level(F.lit("а (б; в); г «д; е»; ж")).alias("x")).first().x == 3
 
 
-def test_replace_keeps_the_old(spark, tmp_path):
+def test_replace_keeps_five_copies(spark, tmp_path):
     p = str(tmp_path / "t")
-    sinks.replace(spark.range(3), p)
-    sinks.replace(spark.range(5), p)
-    assert spark.read.parquet(p).count() == 5 and spark.read.parquet(p + ".previous").count() == 3
+    for n in range(1, 9):
+        sinks.replace(spark.range(n), p)
+    assert spark.read.parquet(p).count() == 8
+    kept = sorted(x.name for x in tmp_path.iterdir())
+    assert kept == ["t", *[f"t.copy-{k}" for k in range(3, 8)]] and spark.read.parquet(f"{p}.copy-7").count() == 7
+
+
+def test_texts_and_manifests(spark, tmp_path):
+    rows = [("a.txt", "http://x", "2026-01-01", None, "body\nmore", "old"), ("b.txt", "http://y", None, "law", "other", None)]
+    t = sinks.with_provenance(spark.createDataFrame(rows, "file string, source_url string, fetched string, reason string, body string, notes string"))
+    got = {r.file: r.text for r in t.collect()}
+    assert got["a.txt"] == "source_url: http://x\nfetched: 2026-01-01\nreason: -\n\nbody\nmore\n## Примечания\nold" and got["b.txt"].endswith("\n\nother")
+    sinks.write_texts(t, str(tmp_path / "m"))
+    assert {r.file for r in spark.read.text(str(tmp_path / "m")).select("file").distinct().collect()} == {"a.txt", "b.txt"}
+    m = sinks.manifest(spark.createDataFrame([(1, "02", "h2", 5), (1, "01", "h1", 3)], "package int, label string, content_hash string, n_bytes long"), "package").first()
+    assert (m.n_files, m.n_bytes) == (2, 8) and m.digest == hashlib.sha256(b"01 h1\n02 h2").hexdigest()
+
+
+def test_digests_of_sheets(spark):
+    rows = [("f.csv", "csv", 1, ["Дата", "Сумма", None], 0), ("f.csv", "csv", 2, ["01.02.2026", "5"], 0), ("f.csv", "csv", 3, ["03.02.2026", "7"], 0), ("f.csv", "csv", 4, ["Сальдо", "12"], 0), ("f.csv", "csv", 5, [None, " "], 0)]
+    s = spark.createDataFrame(rows, "file string, sheet string, row_no int, cells array<string>, stale_formulas int")
+    t = tables.trimmed(s)
+    assert sorted(r.row_no for r in t.collect()) == [1, 2, 3, 4] and {len(r.cells) for r in tables.padded(t).collect()} == {3}
+    d = tables.digest(t).first()
+    assert (d.rows, d.header_row, [x.row_no for x in d.totals], str(d.date_min), str(d.date_max), d.date_col) == (4, 1, [4], "2026-02-01", "2026-02-03", 0)
+    doc = tables.digest_document(tables.digest(t)).first().text
+    assert doc.startswith("# f.csv\n\n## csv\nrows: 4") and "| 2 | 01.02.2026 | 5 |" in doc and "total rows:\n| 4 | Сальдо | 12 |" in doc
+    assert tables.ingest_csv(s).first().fulltext and not tables.ingest_csv(s, 3).first().fulltext
+
+
+def test_anchor_of_a_card():
+    card = "case:\n  number: A1\n  bankruptcy:\n    case_opened_date: 2026-05-04  # first\nother:\n  case_opened_date: 2020-01-01\n"
+    assert str(tables.anchor_date(card)[0]) == "2026-05-04"
+    assert tables.anchor_date("case:\n  number: 1\n") == (None, "there is no such field")
+    assert tables.anchor_date("case:\n  bankruptcy:\n    case_opened_date:\n")[1] == "the field is empty"
+    assert tables.anchor_date("case:\n  bankruptcy:\n    x: 1\nother:\n  case_opened_date: 2020-01-01\n")[0] is None
 
 
 def test_streaming_counters(spark, tmp_path):
