@@ -154,6 +154,11 @@ def _restored(piece: str, channel: Channel) -> list[str]:
     return found
 
 
+def _unmasked(core: str) -> bool:
+    """Whether a token without its edges is of letters, none of them doubled: nothing in it is to be decoded."""
+    return bool(_LETTERS.match(core)) and not _DOUBLE.search(core)
+
+
 def plain_words(token: str, channel: Channel | None) -> tuple[str, ...]:
     """The words that one white-space-delimited lower-case token stands for."""
     core = _EDGE.sub("", token)
@@ -197,8 +202,12 @@ def holding(lexicon) -> re.Pattern | None:
         for x in letters:
             stands[x] = stands.get(x, "") + sign
     step = lambda c: "[^{0}]*+[{0}]".format(re.escape(c + stands.get(c, "")))
-    words = dict.fromkeys(_base_letters(w.removeprefix("^")) for w in lexicon)
-    return re.compile("|".join("".join(map(step, w)) for w in words if w)) if words else None
+    words: list[str] = []
+    for w in sorted({_base_letters(w.removeprefix("^")) for w in lexicon}):
+        # what could spell a word could spell its beginnings: a sorted word that begins with the last one kept adds nothing
+        if w and not (words and w.startswith(words[-1])):
+            words.append(w)
+    return re.compile("|".join("".join(map(step, w)) for w in words)) if words else None
 
 
 class Reader:
@@ -221,7 +230,7 @@ class Reader:
         for t in set(tokens):
             w = seen.get(t)
             if w is None:
-                w = with_stems(plain_words(t, self._channel(t)))
+                w = with_stems(plain_words(t, None if _unmasked(_EDGE.sub("", t)) else self._channel(t)))
                 if self.lexicon is not None:
                     w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
                 if len(t) <= 64:
