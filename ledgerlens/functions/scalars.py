@@ -181,9 +181,11 @@ def compare_field(found, expected) -> Column:
     return F.when(F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe(""), "inconclusive").when(digits, F.when(na == nb, "match").otherwise("mismatch")).when((a == b) | a.contains(b), "match").otherwise("mismatch")
 
 
-def slug(text) -> Column:
-    s = F.regexp_replace(F.lower(F.trim(_c(text))), r"[\s_]+", "-")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}-]", ""), "-{2,}", "-"), "^-|-$", "")
+def slug(*texts) -> Column:
+    """Names for files: full stops and quotation marks go, all else that is no letter or digit becomes one hyphen; letters stay as
+    they are. Several texts are parted by two hyphens."""
+    one = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(t), "[.«»\"']", ""), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+    return F.concat_ws("--", *[one(t) for t in texts])
 
 
 def percent_decode(text) -> Column:
@@ -194,12 +196,30 @@ def doc_refs(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(r"\[(doc-[0-9]+)\]"), 1)
 
 
+#: Marks of places still to be filled in.
+DRAFT = r"\[ПЛЕЙСХОЛДЕР\]|\[TODO\]|\[…\]|\[\.\.\.\]|XXX|указать (дату|номер|сумму|наименование)|____"
+#: Inline markup of Markdown. A single asterisk is markup only at the borders of a word.
+LINK, CODE, BOLD = r"\[([^\]]+)\]\([^)]*\)", "`([^`]+)`", r"(?s)\*\*(.+?)\*\*|__(.+?)__"
+ITALIC = r"(^|[\s(\[«\"'])\*(?!\s)([^*\n]+?)(?<!\s)\*(?=$|[\s.,;:!?)\]»\"'])"
+
+
 def is_draft(text) -> Column:
-    return F.lower(_c(text)).rlike(r"(черновик|проект|draft|todo|\[\?\])")
+    return _c(text).rlike(DRAFT)
 
 
 def strip_markup(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(text), r"\[([^\]]*)\]\([^)]*\)", "$1"), r"(\*\*|__|`|\*)", "")
+    """Text without inline markup."""
+    plain = F.regexp_replace(F.regexp_replace(_c(text), LINK, "$1"), CODE, "$1")
+    return F.regexp_replace(F.regexp_replace(plain, BOLD, "$1$2"), ITALIC, "$1$2")
+
+
+def inline_segments(text) -> Column:
+    """Pieces of text in order, each with whether it is bold; other inline markup goes. Control signs 1 and 2 mark the borders
+    in between, so they are taken out of the text first."""
+    plain = F.regexp_replace(F.regexp_replace(F.translate(_c(text), "\x01\x02", ""), LINK, "$1"), CODE, "$1")
+    pieces = F.split(F.regexp_replace(plain, BOLD, "\x01$1$2\x02"), "(?=\x01)|(?<=\x02)")
+    each = F.transform(pieces, lambda p: F.struct(F.regexp_replace(F.translate(p, "\x01\x02", ""), ITALIC, "$1$2").alias("text"), p.startswith("\x01").alias("bold")))
+    return F.filter(each, lambda x: x["text"] != "")
 
 
 def markdown_escape(text) -> Column:

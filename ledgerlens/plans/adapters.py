@@ -20,10 +20,10 @@ def payments(spark, d):
 
 
 def statement(spark, d):
-    """Events as operations of accounts: purchases and the like credit, errors debit."""
+    """Events as operations of accounts of five users each: purchases and the like credit, errors debit."""
     e = read(spark, d, "events")
     debit = F.when(F.col("event_type").isin("error", "click"), F.col("value"))
-    return e.select((F.col("user_id") % 10).alias("account"), F.col("event_id").alias("row_no"), F.col("ts").cast("date").alias("date"), F.when(debit.isNull(), F.col("value")).alias("credit"), debit.alias("debit"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("party"))
+    return e.select(F.floor(F.col("user_id") / 5).alias("account"), F.col("event_id").alias("row_no"), F.col("ts").cast("date").alias("date"), F.when(debit.isNull(), F.col("value")).alias("credit"), debit.alias("debit"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("party"))
 
 
 def with_balance(ops):
@@ -58,7 +58,7 @@ ACCRUALS_SQL = """SELECT l_suppkey AS sheet, l_orderkey * 10 + l_linenumber AS r
  CAST(l_shipdate AS DATE) AS date_from,
  CAST(CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) - CASE WHEN l_linenumber = 6 THEN 0 ELSE 1 END AS DATE) AS date_to FROM lineitem"""
 
-STATEMENT_SQL = """SELECT user_id % 10 AS account, event_id AS row_no, CAST(ts AS DATE) AS date,
+STATEMENT_SQL = """SELECT user_id // 5 AS account, event_id AS row_no, CAST(ts AS DATE) AS date,
  CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE value END AS credit,
  CASE WHEN event_type IN ('error', 'click') THEN value END AS debit, 'u' || user_id AS party FROM events"""
 

@@ -93,9 +93,14 @@ def stmt_balance_breaks(spark, d):
     return statement.balance_breaks(A.with_balance(A.statement(spark, d)), ["account"])
 
 
-@query(_BALANCE + "SELECT account, 1.0::DOUBLE AS coverage, CAST(NULL AS VARCHAR) AS skipped_reason FROM b GROUP BY account")
+@query(_BALANCE + """, s AS (SELECT account, row_no, CASE WHEN account % 4 = 1 AND row_no % 2 = 0 OR account % 4 = 2 AND row_no % 150 > 0 THEN NULL ELSE balance END AS balance, CASE WHEN account % 4 = 3 THEN DATE '2050-01-01' - CAST(row_no // 3 AS INT) ELSE date END AS date FROM b),
+ f AS (SELECT *, LAG(date) OVER (PARTITION BY account ORDER BY row_no) AS before FROM s) SELECT account, ROUND(COUNT(balance) / COUNT(*), 3) AS coverage,
+ CASE WHEN COUNT(balance) < 3 THEN 'few-balances' WHEN COUNT(balance) / COUNT(*) < 0.95 THEN 'low-coverage' WHEN COUNT(date) >= 3 AND bool_and(before IS NULL OR date <= before) THEN 'descending' END AS skipped_reason FROM f GROUP BY account""")
 def stmt_balance_state(spark, d):
-    return statement.balance_state(A.with_balance(A.statement(spark, d)), ["account"])
+    """Accounts by turns: whole, with every second balance missing, with next to none, with falling dates."""
+    a, r = F.col("account") % 4, F.col("row_no")
+    ops = A.with_balance(A.statement(spark, d)).withColumn("balance", F.when(~(((a == 1) & (r % 2 == 0)) | ((a == 2) & (r % 150 > 0))), F.col("balance")))
+    return statement.balance_state(ops.withColumn("date", F.when(a == 3, F.date_sub(F.lit("2050-01-01").cast("date"), F.floor(r / 3).cast("int"))).otherwise(F.col("date"))), ["account"])
 
 
 _DUP = "SELECT o_custkey % 100 AS account, o_orderkey AS row_no, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(NULL AS DOUBLE) AS credit, FLOOR(o_totalprice / 20000) * 20000 AS debit, 'c' || o_custkey AS party FROM orders"
@@ -106,11 +111,6 @@ def _orders_rounded(spark, d):
     return o.select((F.col("o_custkey") % 100).alias("account"), F.col("o_orderkey").alias("row_no"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("date"), F.lit(None).cast("double").alias("credit"), (F.floor(F.col("o_totalprice") / 20000) * 20000).cast("double").alias("debit"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("party"))
 
 
-@query(f"""SELECT account, date, debit, credit, party, first_row, row_no, FALSE AS suppressed FROM (SELECT *, MIN(row_no) OVER (PARTITION BY account, date, debit, credit, party) AS first_row FROM ({_DUP})) WHERE first_row <> row_no""")
-def stmt_duplicates(spark, d):
-    return statement.duplicates(_orders_rounded(spark, d), ["account"])
-
-
 _SPLIT = f"""WITH RECURSIVE o AS ({STATEMENT_SQL}), t AS (SELECT account, party, date AS d, COUNT(*) AS n, SUM(CAST(debit AS DECIMAL(18,2))) AS t FROM o WHERE debit <> 0 GROUP BY 1, 2, 3),
  p AS (SELECT a.account, a.party, a.d, SUM(b.n) AS n, SUM(b.t) AS t, MAX(b.d) AS last FROM t a JOIN t b ON a.account = b.account AND a.party = b.party AND b.d BETWEEN a.d AND a.d + 2 GROUP BY 1, 2, 3),
  q AS (SELECT p.*, (CASE WHEN n >= 3 THEN (SELECT MIN(x.d) FROM t x WHERE x.account = p.account AND x.party = p.party AND x.d > p.d + 2) ELSE (SELECT MIN(x.d) FROM t x WHERE x.account = p.account AND x.party = p.party AND x.d > p.d) END) AS next FROM p),
@@ -123,6 +123,13 @@ def stmt_splitting(spark, d):
     return statement.split_groups(A.statement(spark, d), ["account"])
 
 
+@query(f"""WITH g AS ({_SPLIT.replace(STATEMENT_SQL, _DUP)}), r AS (SELECT *, MIN(row_no) OVER (PARTITION BY account, date, debit, credit, party) AS first_row FROM ({_DUP}))
+ SELECT r.account, r.date, debit, credit, r.party, first_row, row_no, debit <> 0 AND date_from IS NOT NULL AS suppressed FROM r LEFT JOIN g ON r.account = g.account AND r.party = g.party AND r.date BETWEEN date_from AND date_to WHERE first_row <> row_no""")
+def stmt_duplicates(spark, d):
+    ops = _orders_rounded(spark, d)
+    return statement.duplicates(ops, ["account"], statement.in_split(ops, statement.split_groups(ops, ["account"]), ["account"]))
+
+
 @query("""SELECT account, prev_row, row_no, prev_date, date, CAST(date_diff('day', prev_date, date) AS INT) AS days FROM (SELECT o_custkey AS account, o_orderkey AS row_no, CAST(o_orderdate AS DATE) AS date,
  LAG(CAST(o_orderdate AS DATE)) OVER w AS prev_date, LAG(o_orderkey) OVER w AS prev_row FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)) WHERE date_diff('day', prev_date, date) >= 31""")
 def stmt_date_gaps(spark, d):
@@ -522,4 +529,4 @@ def sheet_findings(spark, d):
     return profiles.analyze(o, ["Дата", "Контрагент", "ИНН", "Сумма"], "payments", anchor=ANCHOR).select("file", "sheet", "code", "severity", "message", F.to_json("cells").alias("cells"), F.to_json("numbers").alias("numbers"))
 
 
-from . import corpus_queries  # noqa: E402, F401  registers its queries here
+from . import corpus_queries, triage_queries  # noqa: E402, F401  register their queries here

@@ -24,9 +24,15 @@ def lines(texts: DataFrame, id_: str = "path") -> DataFrame:
     return texts.select(id_, F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def split_pages(texts: DataFrame, id_: str = "path") -> DataFrame:
-    """Pages of texts that part them by form feeds."""
-    return texts.select(id_, F.posexplode(F.split("text", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+def split_pages(texts: DataFrame, id_: str = "path", declared: str | None = None) -> DataFrame:
+    """Pages of texts that part them by form feeds; a blank last one goes. Where the column `declared` gives another count of
+    pages (above 0), pages beyond it go and missing ones are empty."""
+    parts = F.split("text", "\f")
+    parts = F.when(F.trim(F.regexp_replace(F.element_at(parts, -1), r"\s", "")) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    if declared is not None:
+        n = F.greatest(F.coalesce(F.col(declared), F.lit(0)).cast("int"), F.lit(0))
+        parts = F.when(n > 0, F.slice(F.concat(parts, F.array_repeat(F.lit(""), n)), F.lit(1), n)).otherwise(parts)
+    return texts.select(id_, F.posexplode(parts).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def blocks(md_lines: DataFrame, id_: str = "path") -> DataFrame:

@@ -103,3 +103,45 @@ def test_streaming_counters(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n, r.total) for r in spark.sql("select * from counted").collect()] == [("a", 2, 3.0)]
+
+
+def test_docx_in_order(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('Раз')}<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>{p('Два')}</w:body></w:document>")
+    got = tables.read_tables(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [(r.sheet, r.row_no, r.cells) for r in got] == [("text", 1, ["Раз"]), ("table", 2, ["a", "b"]), ("text", 3, ["Два"])]
+
+
+def test_html_documents_odd_pages():
+    assert html.document(None) == ("", [], []) and html.document("<p>no container</p>") == ("", [], [])
+    assert html.document('<div class="full-text__wrapper">x</div><div class="full-text"><p>a<p>b<br>c</div>after') == ("a\n\nb\n\nc", [], [])
+    assert html.document('<div class="full-text">a<div class="notes">n<div class="bn">m</div></div>b') == ("a\n\nb", [], [("notes", "n m")])
+    assert html.document('<div class="full-text"></span>a<style>p{}</style>&amp;lt;\xa0b<div class="banner">open') == ("a< b", [], [("banner", "open")])
+    assert html.document('<div class="full-text"><div class="doc-insert"> КонсультантПлюс: см. </div></div><div class="full-text">c</div>') == ("c", ["КонсультантПлюс: см."], [])
+
+
+def test_findings_written_by_code(spark, tmp_path):
+    rows = [("f", "s", "E1", "error", "m"), ("f", "s", "W1", "warning", "m"), ("f", "t", "W1", "warning", "m")]
+    f = spark.createDataFrame(rows, "file string, sheet string, code string, severity string, message string")
+    sinks.write_findings(f, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).where("code = 'W1'").count() == 2
+    assert {tuple(r) for r in sinks.severity_counts(f).collect()} == {("f", "s", 1, 2), ("f", "t", 0, 1)}
+
+
+def test_pages_split(spark):
+    t = spark.createDataFrame([(1, "a\fb\f", 0), (2, "a\fb", 3), (3, "a\fb\fc", 1), (4, "a", None), (5, None, 1)], "id long, text string, declared int")
+    got = sorted((r.id, r.page, r.text) for r in documents.split_pages(t, "id", "declared").collect())
+    assert got == [(1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (2, 2, "b"), (2, 3, ""), (3, 1, "a"), (4, 1, "a")]
+
+
+def test_sessions_on_a_stream(spark, tmp_path):
+    from ledgerlens.streaming import events
+
+    rows = [(1, "2026-01-01 00:00:00"), (1, "2026-01-01 00:20:00"), (1, "2026-01-01 02:00:00"), (2, "2026-01-01 00:00:00")]
+    e = spark.createDataFrame(rows, "user_id long, ts string").selectExpr("user_id", "cast(ts as timestamp) as ts")
+    e.write.parquet(str(tmp_path / "in"))
+    q = events.sessions(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("by_session").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert sorted((r.user_id, r.n) for r in spark.table("by_session").collect()) == [(1, 1), (1, 2), (2, 1)]
