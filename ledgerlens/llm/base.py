@@ -93,8 +93,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_HELD: dict = {}  # what the tasks of a worker share, with whether the present task has asked for it
+
+
+def held(name: str, build: Callable):
+    """What build() makes, kept for the next task of this worker: one thing at a time, until a task ends that did not ask for it."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    _HELD["asked"] = True
+    return _HELD[name]
+
+
 def give_back() -> None:
-    """At the end of a task: what Python and Arrow have freed goes back to the system, as workers live on."""
+    """At the end of a task: what is held for other tasks goes if this one had no use for it, and what Python and Arrow
+    have freed goes back to the system, as workers live on."""
+    if not _HELD.pop("asked", False):
+        _HELD.clear()
     pa.default_memory_pool().release_unused()
     try:
         import ctypes
@@ -104,8 +119,6 @@ def give_back() -> None:
         pass  # another C library
 
 
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

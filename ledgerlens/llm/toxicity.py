@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, map_batches, map_rows, slices, text_sample
+from .base import held, held_out, map_batches, map_rows, slices, text_sample
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h", "*": "aeiou", "%": "aeiou"}
@@ -245,14 +245,9 @@ class Reader:
         return out
 
 
-_READER: dict = {}  # the last model's reader: the next task of a worker goes on with the tokens it knows
-
-
 def _reader(model: dict) -> Reader:
-    if model["name"] not in _READER:
-        _READER.clear()
-        _READER[model["name"]] = Reader(Channel(model["counts"], model["lexicon"]), {w: i for i, w in enumerate(model["lexicon"])})
-    return _READER[model["name"]]
+    """The model's reader: the next task of a worker goes on with the tokens it knows."""
+    return held(model["name"], lambda: Reader(Channel(model["counts"], model["lexicon"]), {w: i for i, w in enumerate(model["lexicon"])}))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_000, least: int = 6, z: float = 5.0) -> dict:

@@ -389,3 +389,21 @@ def test_deobfuscation():
     for seen, meant in {"1d10t": "idiot", "m0r0n": "moron", "s.t.u.p.i.d": "stupid", "looooser": "loser", "l0s3r": "loser", "stup!d": "stupid"}.items():
         assert meant in toxicity.plain_words(seen, ch)
     assert toxicity.spaced("an i d i o t here".split(), lambda _: ch) == ["idiot"]
+
+
+def test_what_workers_hold_goes_with_the_first_other_task():
+    from ledgerlens.llm import base
+
+    built = []
+    make = lambda: built.append(1) or object()
+    base.give_back()
+    first = base.held("m", make)
+    base.give_back()
+    assert base.held("m", make) is first and len(built) == 1
+    base.give_back()
+    base.give_back()  # a task that did not ask
+    assert base.held("m", make) is not first and len(built) == 2
+    assert base.held("n", make) is not first and set(base._HELD) == {"n", "asked"}
+    base.give_back()
+    base.give_back()
+    assert not base._HELD
