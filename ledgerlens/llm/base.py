@@ -21,9 +21,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What an Arrow batch may hold, in the JVM and in Python: texts are of any length, so bytes bound a batch and not rows.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per Spark application, wherever the driver found it."""
+    """Give executors this package, once per Spark application, wherever the driver found it; and bound the session's
+    Arrow batches by BATCH_BYTES, where they are not bound closer."""
+    small = "spark.sql.execution.arrow.maxBytesPerBatch"
     sc = spark.sparkContext
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(small)) > BATCH_BYTES:
+        spark.conf.set(small, f"{BATCH_BYTES}b")
     if getattr(sc, "_ledgerlens_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -93,23 +101,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-_HELD: dict = {}  # what the tasks of a worker share, with whether the present task has asked for it
-
-
-def held(name: str, build: Callable):
-    """What build() makes, kept for the next task of this worker: one thing at a time, until a task ends that did not ask for it."""
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = build()
-    _HELD["asked"] = True
-    return _HELD[name]
-
-
 def give_back() -> None:
-    """At the end of a task: what is held for other tasks goes if this one had no use for it, and what Python and Arrow
-    have freed goes back to the system, as workers live on."""
-    if not _HELD.pop("asked", False):
-        _HELD.clear()
+    """At the end of a task: what Python and Arrow have freed goes back to the system, as workers live on."""
     pa.default_memory_pool().release_unused()
     try:
         import ctypes
@@ -150,13 +143,15 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for whole in batches:
-            for b in slices(whole):
-                cols = f(b)
-                if cols is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
-        del f
-        give_back()
+        try:
+            for whole in batches:
+                for b in slices(whole):
+                    cols = f(b)
+                    if cols is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, arrow)], schema=arrow)
+        finally:  # also where the task fails, or nobody reads on
+            del f
+            give_back()
 
     return df.mapInArrow(run, struct)
 

@@ -22,13 +22,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held, held_out, map_batches, map_rows, slices, text_sample
+from .base import held_out, map_batches, map_rows, slices, text_sample
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h", "*": "aeiou", "%": "aeiou"}
@@ -246,12 +245,11 @@ class Reader:
 
 
 def _reader(model: dict) -> Reader:
-    """The model's reader: the next task of a worker goes on with the tokens it knows."""
-    return held(model["name"], lambda: Reader(Channel(model["counts"], model["lexicon"]), {w: i for i, w in enumerate(model["lexicon"])}))
+    return Reader(Channel(model["counts"], model["lexicon"]), {w: i for i, w in enumerate(model["lexicon"])})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_000, least: int = 6, z: float = 5.0) -> dict:
-    """{lexicon, weights, bias, counts, name}"""
+    """{lexicon, weights, bias, counts}"""
     chosen = text_sample(docs, labels, label, rows).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
     def make():
@@ -267,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     n1, n0 = size.get(1, 0), size.get(0, 0)
     counts = char_counts(docs)
     if not n1 or not n0:
-        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 1.0)) if n1 + n0 else -0.1, "counts": counts, "name": uuid.uuid4().hex}
+        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 1.0)) if n1 + n0 else -0.1, "counts": counts}
     by_word = words.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     p, q = (F.col("n1") / n1), (F.col("n0") / n0)
     pool = (F.col("n1") + F.col("n0")) / (n1 + n0)
@@ -275,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     top = by_word.where((F.col("n1") >= least) & (p > 4 * q)).withColumn("z", far).where(F.col("z") >= z).orderBy(F.desc("z"), "word").toPandas()
     lexicon = top.word.tolist()
     if not lexicon:
-        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5)), "counts": counts, "name": uuid.uuid4().hex}
+        return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5)), "counts": counts}
     mine = F.array_intersect("words", F.array(*[F.lit(w) for w in lexicon]))
     got = words.select("label", mine.alias("w")).groupBy("label", "w").count().toPandas()
     no = {w: i for i, w in enumerate(lexicon)}
@@ -293,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
         beta += step
         if abs(step).max() < 1e-8:
             break
-    return {"lexicon": lexicon, "weights": beta[:-1], "bias": float(beta[-1]), "counts": counts, "name": uuid.uuid4().hex}
+    return {"lexicon": lexicon, "weights": beta[:-1], "bias": float(beta[-1]), "counts": counts}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
