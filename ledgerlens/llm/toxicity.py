@@ -2,8 +2,10 @@
 
 A word that looks written around a filter (symbols or digits among letters, separators between single
 letters, doubled letters or longer runs) spans a character lattice: each symbol may stand for letters, a
-separator may stand for nothing or a word boundary, a repetition for one letter or two. Accented letters
-stand for themselves and for their base letters. A Viterbi search under a
+separator may stand for nothing or a word boundary, a repetition for one letter or two (a run of one character
+counts as three at most, in words of any length). Accented letters stand for themselves and for their base letters, in
+words of letters too. Blanks are read as separators in two places: between single characters, from two on, and
+between fragments that a lexicon word falls into. A Viterbi search under a
 trigram character model finds the likeliest word. The restored text is then scored by a logistic
 model over a lexicon learned from the labels.
 
@@ -39,7 +41,7 @@ _DOUBLE = re.compile(r"(.)\1")
 _TRIPLE_OR_MORE = re.compile(r"(.)\1{2,}")
 _SPLIT = re.compile(r"[^\w]+")
 _PARTS = re.compile(f"[{re.escape(SEPARATORS)}]+")
-_MAX_WORD = 40  # in longer tokens a sign repeated more than three times counts as three
+_SINGLE = str.maketrans({sign: letters for sign, letters in SIGNS.items() if len(letters) == 1} | {"1": "i", "!": "i", "|": "i"} | dict.fromkeys(SEPARATORS, ""))
 STEMS = (4, 5, 6)  # a word's beginnings of these lengths count too, for inflected words
 
 
@@ -140,8 +142,7 @@ def _base_letters(word: str) -> str:
 
 def _restored(piece: str, channel: Channel) -> list[str]:
     """What one piece without its edges may stand for, also without the signs around it."""
-    if len(piece) > _MAX_WORD:
-        piece = _TRIPLE_OR_MORE.sub(r"\1\1\1", piece)
+    piece = _TRIPLE_OR_MORE.sub(r"\1\1\1", piece)
     found = []
     for core in dict.fromkeys((piece, _base_letters(piece))):
         found.append(channel.decode(core))
@@ -186,7 +187,7 @@ def spaced(tokens: list[str], channel_of) -> list[str]:
         if len(t) == 1:
             run.append(t)
         else:
-            channel = channel_of("".join(run)) if len(run) >= 4 else None
+            channel = channel_of("".join(run)) if len(run) > 1 else None
             if channel is not None:
                 out += [channel.decode("".join(run)), *channel.decode(" ".join(run), apart=True).split()]
             run = []
@@ -215,6 +216,10 @@ class Reader:
     def __init__(self, channel: Channel | None, lexicon: dict[str, int] | None, most: int = 150_000):
         self.channel, self.lexicon, self.most, self.seen = channel, lexicon, most, {}
         self.held = holding(lexicon) if lexicon else None
+        marks = [(x[:1] == "^", _base_letters(x.removeprefix("^"))) for x in lexicon or ()]
+        self.whole, self.stems = ({w for is_stem, w in marks if is_stem == k} for k in (False, True))
+        self.starts = {w[:k] for _, w in marks for k in range(1, len(w))}
+        self.opens = {w[:k] for _, w in marks for k in (1, 2, 3)}
 
     def _channel(self, token: str) -> Channel | None:
         """The channel, where the token could spell what the lexicon holds; decoding another would find nothing in it."""
@@ -222,24 +227,62 @@ class Reader:
             return self.channel
         return self.channel if self.held is not None and self.held.match(_base_letters(token)) else None
 
+    def _spelled(self, token: str) -> str:
+        """A fragment by its letters, where each sign can be but one."""
+        return token if token.isascii() and token.isalpha() else _base_letters(token).translate(_SINGLE)
+
+    def broken(self, tokens: list[str], heads: dict[str, str]) -> list[str]:
+        """The likeliest words in fragments, standing side by side, that join to a lexicon word or to one with its
+        beginning; heads: how the tokens that such a word may begin with are spelled."""
+        out: list[str] = []
+        for i, t in enumerate(tokens):
+            if t in heads:
+                joined, j = heads[t], i + 1
+                while j < len(tokens):
+                    joined += self._spelled(tokens[j])
+                    j += 1
+                    if joined[:3] not in self.opens:
+                        break
+                    if joined in self.whole or any(joined[:n] in self.stems for n in STEMS if len(joined) > n):
+                        said = " ".join(tokens[i:j])
+                        for form in dict.fromkeys((said, _base_letters(said))):
+                            out += self.channel.decode(form, apart=True).split()
+                    if joined not in self.starts:
+                        break
+        return out
+
+    def _read(self, token: str):
+        """(restored words or their numbers, how the token is spelled if a lexicon word may begin with it)."""
+        core = _EDGE.sub("", token)
+        if not _unmasked(core):
+            w = with_stems(plain_words(token, self._channel(token)))
+        elif self.channel is None or core.isascii():
+            w = with_stems((core,))
+        else:
+            w = with_stems(dict.fromkeys((core, _base_letters(core))))
+        head = self._spelled(token) if self.channel is not None else ""
+        if self.lexicon is not None:
+            w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
+        return w, head if head in self.starts else ""
+
     def words(self, text: str) -> set:
         """All restored words and stems; with a lexicon, the numbers of those in it."""
         tokens = text.lower().split()
-        seen, out = self.seen, set()
+        seen, out, heads = self.seen, set(), {}
         for t in set(tokens):
-            w = seen.get(t)
-            if w is None:
-                w = with_stems(plain_words(t, None if _unmasked(_EDGE.sub("", t)) else self._channel(t)))
-                if self.lexicon is not None:
-                    w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
+            known = seen.get(t)
+            if known is None:
+                known = self._read(t)
                 if len(t) <= 64:
                     if len(seen) >= self.most:
                         seen.clear()
-                    seen[t] = w
-            if w:
-                out.update(w)
+                    seen[t] = known
+            if known[0]:
+                out.update(known[0])
+            if known[1]:
+                heads[t] = known[1]
         if self.channel is not None:
-            extra = with_stems(spaced(tokens, self._channel))
+            extra = with_stems(spaced(tokens, self._channel) + (self.broken(tokens, heads) if heads else []))
             out.update(extra if self.lexicon is None else (self.lexicon[x] for x in extra if x in self.lexicon))
         return out
 
@@ -274,14 +317,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 8_
     lexicon = top.word.tolist()
     if not lexicon:
         return {"lexicon": [], "weights": np.zeros(0), "bias": math.log((n1 + 0.5) / (n0 + 0.5)), "counts": counts}
-    mine = F.array_intersect("words", F.array(*[F.lit(w) for w in lexicon]))
-    got = words.select("label", mine.alias("w")).groupBy("label", "w").count().toPandas()
     no = {w: i for i, w in enumerate(lexicon)}
+
+    def numbered():
+        reader = Reader(None, no)
+
+        def f(b):
+            return [b.column(1), [sorted(reader.words(t)) for t in b.column(2).to_pylist()]]
+
+        return f
+
+    got = map_batches(chosen, "label int, w array<int>", numbered).groupBy("label", "w").count().toPandas()
     x, y, n = np.zeros((len(got), len(lexicon) + 1)), got.label.to_numpy(float), got["count"].to_numpy(float)
     x[:, -1] = 1
     for i, ws in enumerate(got.w):
-        for w in ws:
-            x[i, no[w]] = 1
+        x[i, ws] = 1
     beta = np.zeros(x.shape[1])
     pull = np.full(x.shape[1], 0.2)
     pull[-1] = 1e-3

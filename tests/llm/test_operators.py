@@ -110,11 +110,67 @@ def test_secrets_in_odd_rows(spark):
     assert secrets.redact_secrets(df).columns == df.columns and secrets.scan_secrets(df.limit(0)).count() == 0
 
 
-def test_markov_tells_random_strings_from_identifiers():
-    ratio, least = secrets.markov_model()
-    rand, plain = secrets.labelled_samples(n=500, seed=99)
-    assert sum(secrets._score(ratio, np.frombuffer(x.encode(), np.uint8)) >= least for x in rand) > 450
-    assert sum(secrets._score(ratio, np.frombuffer(x.encode(), np.uint8)) >= least for x in plain) < 10
+ORDINARY = """
+-------------------------------- ======================== ____________________________ +++++++++++++++++++++++ -=-=-=-=-=-=-=-=-=-=-=-=
+getElementsByClassNameAndTag AbstractSingletonProxyFactoryBean internationalizationAndLocalization THIS_IS_A_CONSTANT_NAME_FOR_TESTING
+kubernetes-node-pool-prod-eu-west my-very-long-branch-name-feature-1234 org/apache/spark/sql/execution/WholeStageCodegenExec
+/usr/local/lib/python3/site-packages/numpy/core com/some/path/to/the/documentation/index __init__subclass__hook__method__name
+ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz0123456789 2023-10-11T12-33-44-000000 zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz
+Donaudampfschifffahrtsgesellschaft Krankenversicherungsbeitragssatz Geschwindigkeitsbegrenzungsschild Lebensversicherungsgesellschaftsangestellter
+anticonstitutionnellement developpementdurableetsolidaire hexakosioihexekontahexaphobie gouvernementalisation-des-institutions
+electroencefalografista responsabilidadsocialcorporativa desarrollo-de-la-sociedad-contemporanea otorrinolaringologico/electroencefalograma
+""".split()
+
+
+def plain_score(chains, token):
+    """A token's log-likelihood, character by character."""
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    total, before = 0.0, None
+    word = [0, 0]
+    for c in token:
+        k = kind(c)
+        total += chains.kinds[4 if before is None else kind(before), k]
+        if k < 2:
+            if before is None or kind(before) > 1 or (k == 1 and kind(before) == 0):
+                word = [0, 0]
+            x = ord(c.lower()) - 96
+            total += chains.letters[word[0] * 729 + word[1] * 27 + x]
+            word = [word[1], x]
+        elif k == 3 and before is not None and kind(before) == 3 and c == before:
+            total += chains.same[0]
+        else:
+            total += chains.other[ord(c)] + (chains.same[1] if k == 3 and before is not None and kind(before) == 3 else 0)
+        before = c
+    return total
+
+
+def test_ordinary_tokens_are_no_secrets_and_random_strings_are(spark):
+    text = "Title\n" + "\n".join(ORDINARY) + "\nbody"
+    df = spark.createDataFrame([(1, text), (2, " ".join(ORDINARY)), (3, "el desarrollo de la sociedad y la versicherung der gesellschaft")], "doc_id long, text string")
+    for model in (secrets.learn(), secrets.fit(df)):
+        assert {r.n_markov for r in secrets.scan_secrets(df, model).collect()} == {0}
+        assert [r.text for r in secrets.redact_secrets(df, model=model).orderBy("doc_id").limit(2).collect()] == [text, " ".join(ORDINARY)]
+        strings = secrets.random_strings(n=150, seed=99)
+        rows = [(100 * a + i, "see " + x + " there") for a, xs in enumerate(strings) for i, x in enumerate(xs)]
+        got = secrets.scan_secrets(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), model).collect()
+        assert sum(r.n_markov + r.n_hex > 0 for r in got) >= 0.98 * len(rows)
+
+
+def test_markov_spans_equal_a_plain_scan(spark):
+    r = random.Random(31)
+    pool = ORDINARY + [x for xs in secrets.random_strings(n=12, seed=5) for x in xs]
+    texts = [r.choice([" ", "é ", "\n", ". "]).join(r.choice(pool + WORDS) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.learn()
+    got = {x.doc_id: x.spans for x in secrets.scan_secrets(df, model).collect()}
+    for i, t in enumerate(texts):
+        taken = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", t)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_\-=]{20,}", t):
+            if len(set(m[0])) >= 8 and not any(a < m.end() and m.start() < z for a, z in taken):
+                if (max(plain_score(c, m[0]) for c in model[0]) - plain_score(model[1], m[0])) / len(m[0]) >= model[2]:
+                    want.append(f"markov:{m.start()}:{m.end()}")
+        assert [x for x in got[i].split(",") if x.startswith("markov")] == want
 
 
 # --- 8

@@ -20,12 +20,12 @@ def test_every_verbatim_item_is_found_with_many_more_passages_than_dimensions(sp
     assert {(x.doc_id, x.item_id) for x in got.where("coverage = 1").collect()} == {(i, i) for i, _ in items}
 
 
-def channel():
+def channel(*more):
     counts = np.zeros((27, 27, 27))
     ordinary = "such a loser you are a moron and an idiot is not very stupid he said that they were all here with the other people of this house " * 20
     text = toxicity._codes(" " + ordinary + " ")
     np.add.at(counts, (text[:-2], text[1:-1], text[2:]), 1)
-    return toxicity.Channel(counts, ["idiot", "moron", "stupid", "loser"])
+    return toxicity.Channel(counts, ["idiot", "moron", "stupid", "loser", *more])
 
 
 def test_spaced_letters_have_word_boundaries_and_no_last_letter():
@@ -42,6 +42,23 @@ def test_all_classes_of_obfuscated_tokens_are_read():
         assert meant in toxicity.plain_words(seen, ch), seen
 
 
+def test_accents_short_runs_and_broken_words_are_read():
+    ch = channel("ass")
+    number = {w: i for i, w in enumerate(["idiot", "moron", "^moro", "stupid", "loser", "ass"])}
+    read = toxicity.Reader(ch, number)
+    for said, meant in {"mörön": "moron", "idiöt here": "idiot", "m0rön": "moron", "a s s": "ass", "mo ron": "moron", "m o ro n": "moron", "mor on": "moron", "you are a sTu pid one": "stupid", "lo ser": "loser", "mör ons": "^moro"}.items():
+        assert number[meant] in read.words(said), said
+    for said in ("the house of other people", "he said that they were all here", "as so", "lo and see"):
+        assert not read.words(said), said
+
+
+def test_repetitions_are_read_alike_in_words_of_any_length():
+    ch = channel()
+    for n in (3, 4, 12, 36, 60):
+        assert "loser" in toxicity.plain_words("l" + "o" * n + "ser", ch), n
+        assert "loser" in toxicity.plain_words("you-" + "l" + "0" * n + "s3r", ch), n
+
+
 def test_tokens_left_undecoded_would_have_given_nothing():
     ch, lexicon = channel(), ["idiot", "moron", "^stup", "loser", "idiöt"]
     number = {w: i for i, w in enumerate(lexicon)}
