@@ -187,27 +187,53 @@ def spaced(tokens: list[str], channel_of) -> list[str]:
         if len(t) == 1:
             run.append(t)
         else:
-            channel = channel_of("".join(run)) if len(run) > 1 else None
+            channel = channel_of(" ".join(run)) if len(run) > 1 else None
             if channel is not None:
                 out += [channel.decode("".join(run)), *channel.decode(" ".join(run), apart=True).split()]
             run = []
     return list(dict.fromkeys(w for w in out if w))
 
 
-def holding(lexicon) -> re.Pattern | None:
-    """Matches every token whose lattice could spell one of the lexicon's words or beginnings: each symbol gives one
-    letter at most, so the word's letters must be there in order, each as itself or as a sign that may stand for it."""
-    stands: dict = {}
-    for sign, letters in SIGNS.items():
-        for x in letters:
-            stands[x] = stands.get(x, "") + sign
-    step = lambda c: "[^{0}]*+[{0}]".format(re.escape(c + stands.get(c, "")))
-    words: list[str] = []
-    for w in sorted({_base_letters(w.removeprefix("^")) for w in lexicon}):
-        # what could spell a word could spell its beginnings: a sorted word that begins with the last one kept adds nothing
-        if w and not (words and w.startswith(words[-1])):
-            words.append(w)
-    return re.compile("|".join("".join(map(step, w)) for w in words)) if words else None
+class Speller:
+    """Tells which tokens could spell one of the lexicon's words or beginnings, whatever the lattice's prices: from the
+    beginning of the token, or after a sign, its letters one after another, where a sign may stand for one of its letters
+    or for nothing, and a letter said again for nothing. Words are held as a tree; a token is read once."""
+
+    def __init__(self, lexicon):
+        self.root: dict = {}
+        for w in lexicon:
+            node = self.root
+            for c in _base_letters(w.removeprefix("^")):
+                node = node.setdefault(c, {})
+            node["^" if w[:1] == "^" else ""] = True
+
+    def could(self, token: str) -> bool:
+        states: list[dict] = []
+        fresh, last = True, ""
+        for ch in _base_letters(token):
+            if ch.isalpha():
+                more = [n[ch] for n in states if ch in n]
+                if fresh and ch in self.root:
+                    more.append(self.root[ch])
+                if ch == last:
+                    more += states
+                fresh, last = False, ch
+            else:
+                if any("" in n for n in states):
+                    return True
+                more = list(states)
+                for x in SIGNS.get(ch, ""):
+                    more += [n[x] for n in states if x in n]
+                    if fresh and x in self.root:
+                        more.append(self.root[x])
+                fresh = True
+            states = list({id(n): n for n in more}.values()) if len(more) > 1 else more
+            if any("^" in n for n in states):
+                return True
+        return any("" in n for n in states)
+
+
+_NOTHING: tuple = ((), "")
 
 
 class Reader:
@@ -215,17 +241,18 @@ class Reader:
 
     def __init__(self, channel: Channel | None, lexicon: dict[str, int] | None, most: int = 150_000):
         self.channel, self.lexicon, self.most, self.seen = channel, lexicon, most, {}
-        self.held = holding(lexicon) if lexicon else None
+        self.speller = Speller(lexicon) if lexicon else None
         marks = [(x[:1] == "^", _base_letters(x.removeprefix("^"))) for x in lexicon or ()]
         self.whole, self.stems = ({w for is_stem, w in marks if is_stem == k} for k in (False, True))
         self.starts = {w[:k] for _, w in marks for k in range(1, len(w))}
         self.opens = {w[:k] for _, w in marks for k in (1, 2, 3)}
+        self.roots = {w[1 : 1 + STEMS[0]] for w in lexicon or () if w[:1] == "^"}
 
     def _channel(self, token: str) -> Channel | None:
         """The channel, where the token could spell what the lexicon holds; decoding another would find nothing in it."""
         if self.channel is None or self.lexicon is None:
             return self.channel
-        return self.channel if self.held is not None and self.held.match(_base_letters(token)) else None
+        return self.channel if self.speller is not None and self.speller.could(token) else None
 
     def _spelled(self, token: str) -> str:
         """A fragment by its letters, where each sign can be but one."""
@@ -251,19 +278,29 @@ class Reader:
                         break
         return out
 
+    def _numbers(self, words) -> tuple[int, ...]:
+        """The numbers of the lexicon's words and beginnings among words and their beginnings."""
+        lexicon, found = self.lexicon, []
+        for w in words:
+            if w in lexicon:
+                found.append(lexicon[w])
+            if w[:STEMS[0]] in self.roots:
+                found += [lexicon["^" + w[:n]] for n in STEMS if len(w) > n and "^" + w[:n] in lexicon]
+        return tuple(dict.fromkeys(found))
+
     def _read(self, token: str):
         """(restored words or their numbers, how the token is spelled if a lexicon word may begin with it)."""
-        core = _EDGE.sub("", token)
-        if not _unmasked(core):
-            w = with_stems(plain_words(token, self._channel(token)))
-        elif self.channel is None or core.isascii():
-            w = with_stems((core,))
+        core = token if token.isalpha() else _EDGE.sub("", token)
+        if core.isalpha() and (self.channel is None or not _DOUBLE.search(core) or self._channel(core) is None):
+            words = (core,) if self.channel is None or core.isascii() else tuple(dict.fromkeys((core, _base_letters(core))))
+            head = words[-1]
         else:
-            w = with_stems(dict.fromkeys((core, _base_letters(core))))
-        head = self._spelled(token) if self.channel is not None else ""
-        if self.lexicon is not None:
-            w = tuple({self.lexicon[x] for x in w if x in self.lexicon})
-        return w, head if head in self.starts else ""
+            words = plain_words(token, self._channel(token))
+            head = self._spelled(token) if self.channel is not None else ""
+        if self.lexicon is None:
+            return with_stems(words), ""
+        found, head = self._numbers(words), head if head in self.starts else ""
+        return (found, head) if found or head else _NOTHING
 
     def words(self, text: str) -> set:
         """All restored words and stems; with a lexicon, the numbers of those in it."""
@@ -282,8 +319,8 @@ class Reader:
             if known[1]:
                 heads[t] = known[1]
         if self.channel is not None:
-            extra = with_stems(spaced(tokens, self._channel) + (self.broken(tokens, heads) if heads else []))
-            out.update(extra if self.lexicon is None else (self.lexicon[x] for x in extra if x in self.lexicon))
+            extra = spaced(tokens, self._channel) + (self.broken(tokens, heads) if heads else [])
+            out.update(with_stems(extra) if self.lexicon is None else self._numbers(extra))
         return out
 
 
