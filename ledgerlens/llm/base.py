@@ -142,6 +142,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # what this one frees, give_back() can give back
         f = make()
         try:
             for whole in batches:
