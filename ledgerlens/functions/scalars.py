@@ -230,17 +230,19 @@ def text_diagnostics(text) -> dict[str, Column]:
     """Ratios that tell damaged text: replacement signs, controls, Cyrillic share, mean token length."""
     t = F.coalesce(_c(text), F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
-    count = lambda p: F.length(t) - F.length(F.regexp_replace(t, p, ""))
-    words = F.size(F.filter(F.split(t, r"[ \t\n\r]+"), lambda w: w != ""))
+    # runs of a class are taken out together; a class that is rare in text is looked for first, which builds no string
+    count = lambda p: F.length(t) - F.length(F.regexp_replace(t, f"{p}+", ""))
+    rare = lambda p: F.when(t.rlike(p), count(p)).otherwise(0)
+    words = F.length(F.regexp_replace(F.regexp_replace(t, r"[^ \t\n\r]+", "x"), r"[ \t\n\r]+", ""))
     letters = count(r"[A-Za-zА-Яа-яЁёÀ-ÖØ-öø-ÿ]")
     return {
         "n_chars": F.length(t).cast("long"),
         "n_words": words.cast("long"),
-        "bad_ratio": F.round(count("�") / n, 6),
-        "control_ratio": F.round(count(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") / n, 6),
+        "bad_ratio": F.round(rare("�") / n, 6),
+        "control_ratio": F.round(rare(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") / n, 6),
         "letters": letters.cast("long"),
-        "cyrillic_ratio": F.round(count("[А-Яа-яЁё]") / F.greatest(letters, F.lit(1)), 6),
-        "avg_token": F.round(count(r"[^ \t\n\r]") / F.greatest(words, F.lit(1)), 6),
+        "cyrillic_ratio": F.round(rare("[А-Яа-яЁё]") / F.greatest(letters, F.lit(1)), 6),
+        "avg_token": F.round((F.length(t) - count(r"[ \t\n\r]")) / F.greatest(words, F.lit(1)), 6),
     }
 
 

@@ -56,12 +56,17 @@ def second_chance(left: DataFrame, right: DataFrame, first: str, second: list[st
     return j.withColumn("match_id", F.coalesce("_id1", "_id2")).withColumn("via", via).drop("_id1", "_id2")
 
 
+def _two_digits(number: str) -> Column:
+    s = F.col(number).cast("string")
+    return F.when(F.length(s) < 2, F.concat(F.lit("0"), s)).otherwise(s)
+
+
 def catalog_order(docs: DataFrame, group: str, bundle: str, order: list[str]) -> DataFrame:
-    """Package numbers NN by bundle within group, NN.kk within a bundle."""
+    """Package numbers NN by bundle within group, NN.kk within a bundle; numbers above 99 have all their digits."""
     # bundles are ranked among themselves, not over their members
     ranked = docs.select(group, bundle).distinct().withColumn("nn", F.row_number().over(Window.partitionBy(group).orderBy(bundle)))
     d = docs.join(ranked, [group, bundle]).withColumn("kk", F.row_number().over(Window.partitionBy(group, bundle).orderBy(*order)))
-    return d.withColumn("label", F.concat_ws(".", F.lpad(F.col("nn").cast("string"), 2, "0"), F.lpad(F.col("kk").cast("string"), 2, "0")))
+    return d.withColumn("label", F.concat_ws(".", _two_digits("nn"), _two_digits("kk")))
 
 
 def retracted(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

@@ -21,14 +21,17 @@ def coverage(items: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fold_ranges(numbers: DataFrame, keys: list[str], n: str = "n", block: int = 65_536) -> DataFrame:
-    """Consecutive integers as ranges: first within blocks of `block` numbers, a window each; then the blocks' ranges, far
-    fewer, are joined where one begins right after another ends."""
+    """Consecutive integers as ranges: first within blocks of `block` numbers, a window each. A range that touches no end
+    of its block is final; of each block at most the one at its beginning and the one at its end go on, and these are
+    joined where one ends right before the next begins: two rows a block at most, whatever the numbers."""
     d = numbers.select(*keys, n).distinct().withColumn("_b", F.floor(F.col(n) / block))
     d = d.withColumn("_i", F.col(n) - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(n)))
     local = d.groupBy(*keys, "_b", "_i").agg(F.min(n).alias("first"), F.max(n).alias("last"))
+    edge = (F.pmod(F.col("first"), F.lit(block)) == 0) | (F.pmod(F.col("last"), F.lit(block)) == block - 1)
     w = Window.partitionBy(*keys).orderBy("first")
-    joined = local.withColumn("_run", F.sum(F.when(F.lag("last").over(w) == F.col("first") - 1, 0).otherwise(1)).over(w))
-    return joined.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    open_ = local.where(edge).withColumn("_run", F.sum(F.when(F.lag("last").over(w) == F.col("first") - 1, 0).otherwise(1)).over(w))
+    joined = open_.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    return local.where(~edge).select(*keys, "first", "last").unionByName(joined.select(*keys, "first", "last"))
 
 
 def nearest_before(points: DataFrame, marks: DataFrame, keys: list[str], reach: int) -> DataFrame:
@@ -54,10 +57,21 @@ def state_of_lines(lines: DataFrame, keys: list[str], mark: Column, name: str =
     return lines.withColumn(name, F.last(mark, ignorenulls=True).over(w)).withColumn("fenced", fence == 1)
 
 
-def split_top_level(text: Column) -> Column:
-    """Parts of a list at «;», but not inside parentheses or guillemets."""
-    safe = F.regexp_replace(text, r"[(][^()]*[)]|«[^«»]*»", "")
-    return F.size(F.filter(F.split(safe, ";"), lambda x: F.trim(x) != ""))
+def split_top_level(text: Column, at: str = ";") -> Column:
+    """array<string>: the parts of a list at a sign, but not inside parentheses, of any depth, or guillemets; trimmed, without
+    empty ones. A fold over the text's pieces between these signs carries depth, quotation and the parts so far; an unopened
+    parenthesis closes nothing."""
+    pieces = F.split(text, f"(?=[()«»{at}])|(?<=[()«»{at}])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.array(F.lit("")).alias("parts"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = F.when(p == "(", s["depth"] + 1).when(p == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        quoted = F.when(p == "«", True).when(p == "»", False).otherwise(s["quoted"])
+        cut = (p == at) & (s["depth"] == 0) & ~s["quoted"]
+        longer = F.concat(F.slice(s["parts"], F.lit(1), F.size(s["parts"]) - 1), F.array(F.concat(F.element_at(s["parts"], -1), p)))
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), F.when(cut, F.concat(s["parts"], F.array(F.lit("")))).otherwise(longer).alias("parts"))
+
+    return F.filter(F.transform(F.aggregate(pieces, start, step, lambda s: s["parts"]), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hrefs(html: Column) -> Column:

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import checks, reconcile, rules, text
+from ledgerlens.operators import checks, counts, norms, reconcile, rules, text
 
 from .adapters import read
 from .queries import query
 
 
-def _values(rows) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
-
-
 def _nth(names, key: str):
     """One of the names, by turns; and none of them every so often."""
     return F.element_at(F.array(*[F.lit(x) for x in names], F.lit("other")), (F.col(key) % (len(names) + 1) + 1).cast("int"))
@@ -29,7 +25,8 @@ _K = list(rules.FLAT)
 
 
 @query(f"""SELECT o.o_orderkey, CAST(CASE WHEN o.o_orderstatus = 'F' THEN t.c ELSE t.p END AS DOUBLE) AS fee FROM (SELECT *, ({_list(_K)})[o_orderkey % {len(_K) + 1} + 1] AS kind FROM orders) o
- LEFT JOIN {_values((k, *v) for k, v in rules.FLAT.items())} t(kind, p, c) ON o.kind = t.kind""")
+ LEFT JOIN (VALUES ('contract', 15000, 50000), ('unvalued', 15000, 50000), ('non-normative', 10000, 50000), ('creditor-bankruptcy', 10000, 100000), ('own-bankruptcy', 0, 0), ('legal-fact', 30000, 30000), ('succession', 5000, 25000),
+ ('writ-paper', 10000, 10000), ('new-facts', 30000, 30000), ('interim-measure', 30000, 30000), ('delay', 300, 6000), ('appeal', 10000, 30000), ('cassation', 20000, 50000), ('supreme', 30000, 80000)) t(kind, p, c) ON o.kind = t.kind""")
 def flat_fees(spark, d):
     return read(spark, d, "orders").select("o_orderkey", rules.flat_fee(_nth(_K, "o_orderkey"), F.col("o_orderstatus") == "F").alias("fee"))
 
@@ -56,7 +53,7 @@ _L = list(rules.LIMITATION)
 
 
 @query(f"""SELECT o_orderkey, CAST(LEAST(s + to_months(COALESCE(t.m, 36)), b + INTERVAL 120 MONTH) AS DATE) AS ends FROM (SELECT *, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 4000 AS INT) AS b, ({_list(_L)})[o_orderkey % {len(_L) + 1} + 1] AS k FROM orders) o
- LEFT JOIN {_values(rules.LIMITATION.items())} t(k, m) ON o.k = t.k""")
+ LEFT JOIN (VALUES ('general', 36), ('voidable', 12), ('void', 36), ('carriage', 12), ('works', 12), ('buildings', 36), ('property-insurance', 24), ('pre-emption', 3), ('labour', 3), ('wages', 12)) t(k, m) ON o.k = t.k""")
 def limitation_ends(spark, d):
     s = F.col("o_orderdate").cast("date")
     return read(spark, d, "orders").select("o_orderkey", rules.limitation_end(_nth(_L, "o_orderkey"), s, F.date_sub(s, (F.col("o_orderkey") % 4000).cast("int"))).alias("ends"))
@@ -67,7 +64,8 @@ _S, _V = list(rules.STAGES), ["overturned", "modified", "upheld", "dismissed", "
 
 @query(f"""SELECT c_custkey, t.stage, CASE WHEN c_custkey % 4 < 2 AND v IN ('overturned', 'modified') THEN 'granted' WHEN c_custkey % 4 < 2 AND v IN ('upheld', 'dismissed') THEN 'denied'
  WHEN c_custkey % 4 = 2 AND v IN ('granted', 'partial', 'denied') THEN v WHEN c_custkey % 4 = 3 AND v IN ('settled', 'withdrawn') THEN 'granted' END AS outcome
- FROM (SELECT *, ({_list(_S)})[c_custkey % {len(_S) + 1} + 1] AS k, ({_list(_V)})[c_custkey % {len(_V) + 1} + 1] AS v FROM customer) c LEFT JOIN {_values(rules.STAGES.items())} t(k, stage) ON c.k = t.k""")
+ FROM (SELECT *, ({_list(_S)})[c_custkey % {len(_S) + 1} + 1] AS k, ({_list(_V)})[c_custkey % {len(_V) + 1} + 1] AS v FROM customer) c LEFT JOIN (VALUES ('active', '1 инстанция'), ('suspended', '1 инстанция (приостановлено)'), ('pending_appeal', 'Апелляция'), ('pending_cassation', 'Кассация'), ('pending_settlement', 'Примирение'),
+ ('settled', 'Завершено (мировое)'), ('withdrawn', 'Завершено (отказ)'), ('enforcement', 'Исполнение'), ('completed', 'Решение вступило в силу'), ('archived', 'Закрыто')) t(k, stage) ON c.k = t.k""")
 def stages_and_outcomes(spark, d):
     source = F.element_at(F.array(*[F.lit(x) for x in ("appeal", "cassation", "adjustment", "status")]), (F.col("c_custkey") % 4 + 1).cast("int"))
     return read(spark, d, "customer").select("c_custkey", rules.stage(_nth(_S, "c_custkey")).alias("stage"), rules.outcome(source, _nth(_V, "c_custkey")).alias("outcome"))
@@ -76,14 +74,16 @@ def stages_and_outcomes(spark, d):
 _C = list(rules.SHARDS)
 
 
-@query(f"""SELECT c_custkey, t.shard, t.court FROM (SELECT *, ({_list(_C)})[c_custkey % {len(_C) + 1} + 1] AS k FROM customer) c LEFT JOIN {_values((k, v, rules.ROUTES[k]) for k, v in rules.SHARDS.items())} t(k, shard, court) ON c.k = t.k""")
+@query(f"""SELECT c_custkey, t.shard, t.court FROM (SELECT *, ({_list(_C)})[c_custkey % {len(_C) + 1} + 1] AS k FROM customer) c LEFT JOIN (VALUES ('исковое (АПК)', 'исковое-АПК', 'арбитражный'), ('экономические споры', 'исковое-АПК', 'арбитражный'), ('банкротство', 'банкротство', 'банкротный'),
+ ('корпоративный спор', 'корпоративный-спор', 'арбитражный'), ('административное (АПК)', 'административное-АПК', 'арбитражный'), ('исковое (ГПК)', 'исковое-ГПК', 'СОЮ'), ('трудовой спор', 'трудовой-спор', 'СОЮ'), ('административное (КАС)', 'административное-КАС', 'КАС')) t(k, shard, court) ON c.k = t.k""")
 def shards_and_routes(spark, d):
     k = _nth(_C, "c_custkey")
     return read(spark, d, "customer").select("c_custkey", rules.shard(k).alias("shard"), rules.route(k).alias("court"))
 
 
 @query(f"""SELECT o_orderkey, CAST(s + to_months(t.m) AS DATE) AS complaint, CAST(s + u.d AS DATE) AS short FROM (SELECT *, CAST(o_orderdate AS DATE) AS s, ['general', 'insolvency'][o_orderkey % 2 + 1] AS c, ['appeal', 'cassation', 'supreme', 'supervision'][o_orderkey % 5 + 1] AS i, ({_list(rules.SHORT_TERMS)})[o_orderkey % {len(rules.SHORT_TERMS) + 1} + 1] AS k FROM orders) o
- LEFT JOIN {_values((a, b, m) for (a, b), m in rules.TERMS.items())} t(c, i, m) ON o.c = t.c AND o.i = t.i LEFT JOIN {_values(rules.SHORT_TERMS.items())} u(k, d) ON o.k = u.k""")
+ LEFT JOIN (VALUES ('general', 'appeal', 1), ('general', 'cassation', 3), ('general', 'supreme', 3), ('general', 'supervision', 3), ('insolvency', 'appeal', 1), ('insolvency', 'cassation', 2), ('insolvency', 'supreme', 2)) t(c, i, m) ON o.c = t.c AND o.i = t.i
+ LEFT JOIN (VALUES ('bailiff', 10), ('removal', 10), ('public-event', 10), ('dissolution', 10)) u(k, d) ON o.k = u.k""")
 def complaint_terms(spark, d):
     k, s = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     court = F.when(k % 2 == 0, "general").otherwise("insolvency")
@@ -109,8 +109,9 @@ def typographic_keys(spark, d):
 
 
 def _quotes(spark, d):
-    """Each item of the benchmark as a quotation of its beginning and its end, with a gap marked between."""
-    q = F.concat(F.substring("text", 1, 60), F.lit(" … "), F.substring(F.col("text"), F.length("text") - 39, F.lit(40)))
+    """Each item of the benchmark as a quotation of the whole of it, with a gap marked in its middle."""
+    half = F.expr("length(text) div 2")
+    q = F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit(" … "), F.substring(F.col("text"), half + 1, F.length("text")))
     return read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), checks.typographic(q).alias("quote"))
 
 
@@ -119,7 +120,7 @@ def _corpus(spark, d):
 
 
 _CORPUS = f"SELECT doc_id, {_TYPO % 'text'} AS t FROM documents"
-_PARTS = f"SELECT item_id, trim({_TYPO % 'substr(text, 1, 60)'}) AS h, trim({_TYPO % 'substr(text, length(text) - 39, 40)'}) AS e FROM benchmark"
+_PARTS = f"SELECT item_id, trim({_TYPO % 'substr(text, 1, length(text) // 2)'}) AS h, trim({_TYPO % 'substr(text, length(text) // 2 + 1)'}) AS e FROM benchmark"
 
 
 @query(f"SELECT q.item_id AS quote_id, c.doc_id FROM ({_PARTS}) q JOIN ({_CORPUS}) c ON contains(c.t, q.h) AND contains(substr(c.t, strpos(c.t, q.h) + length(q.h)), q.e)")
@@ -127,12 +128,12 @@ def quote_in_corpus(spark, d):
     return checks.confirmed(_quotes(spark, d), _corpus(spark, d))
 
 
-@query(f"""SELECT g, COUNT(*) AS n_items, COUNT(*) FILTER (used) AS n_used, COUNT(*) FILTER (NOT used) AS n_missing, (SELECT COUNT(*) FROM part WHERE p_partkey % 5 = g AND p_partkey <= 40) AS n_ghost FROM
+@query(f"""SELECT g, COUNT(*) AS n_items, COUNT(*) FILTER (used) AS n_used, COUNT(*) FILTER (NOT used) AS n_missing, (SELECT COUNT(*) FROM part WHERE p_partkey % 5 = g) AS n_ghost FROM
  (SELECT item_id % 5 AS g, EXISTS (SELECT 1 FROM ({_CORPUS}) c WHERE contains(c.t, q.h) AND contains(substr(c.t, strpos(c.t, q.h) + length(q.h)), q.e)) AS used FROM ({_PARTS}) q) GROUP BY 1""")
 def coverage_missing(spark, d):
-    """Items that some document quotes; the first forty part numbers are used as well, under numbers that no item has."""
+    """Items that some document quotes; parts are used as well, under numbers that no item has."""
     used = quote_in_corpus(spark, d).select((F.col("quote_id") % 5).alias("g"), F.col("quote_id").alias("item"))
-    ghosts = read(spark, d, "part").where("p_partkey <= 40").select((F.col("p_partkey") % 5).alias("g"), (-1 - F.col("p_partkey")).alias("item"))
+    ghosts = read(spark, d, "part").select((F.col("p_partkey") % 5).alias("g"), (-1 - F.col("p_partkey")).alias("item"))
     return text.coverage(read(spark, d, "benchmark").select((F.col("item_id") % 5).alias("g"), F.col("item_id").alias("item")), used.unionByName(ghosts), ["g"])
 
 
@@ -168,24 +169,25 @@ def ordinals(spark, d):
 
 # --- norms
 
-_ART, _ITEM = "l_orderkey % 9000 + 1", "l_orderkey // 9000 % 900 + 1"
+_LAW, _ART, _ITEM = "l_orderkey // 8100000 + 127", "l_orderkey % 9000 + 1", "l_orderkey // 9000 % 900 + 1"
 _FRAG = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
 
 
 def _fragments(spark, d):
-    """Line items in the language of norms: an order's lines speak of one norm, apply it or not, within terms of days."""
+    """Line items in the language of norms: an order's lines speak of one norm (law, article and item, so that norms grow with
+    orders), apply it or not, within terms of days."""
     frag = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
     k = F.col("l_orderkey")
-    t = F.concat(F.lit("Пункт "), (F.floor(k / 9000) % 900 + 1).cast("string"), F.lit(" ст. "), (k % 9000 + 1).cast("string"), F.lit(" ФЗ-127 в деле "), frag, F.when(F.col("l_returnflag") == "R", " не применяется в срок ").otherwise(" применяется в срок "), F.col("l_quantity").cast("int").cast("string"), F.lit(" дней"))
+    t = F.concat(F.lit("Пункт "), (F.floor(k / 9000) % 900 + 1).cast("string"), F.lit(" ст. "), (k % 9000 + 1).cast("string"), F.lit(" ФЗ-"), (F.floor(k / 8100000) + 127).cast("string"), F.lit(" в деле "), frag, F.when(F.col("l_returnflag") == "R", " не применяется в срок ").otherwise(" применяется в срок "), F.col("l_quantity").cast("int").cast("string"), F.lit(" дней"))
     return read(spark, d, "lineitem").select(frag.alias("frag_id"), t.alias("text"))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {_FRAG} AS id, 'ФЗ-127 ст.' || ({_ART}) || '/п.' || ({_ITEM}) AS norm, l_returnflag = 'R' AS neg, CAST(l_quantity AS INT) AS n FROM lineitem),
- c AS (SELECT norm FROM (SELECT {_FRAG} AS id, 'ФЗ-127 ст.' || ({_ART}) || '/п.' || ({_ITEM}) AS norm FROM lineitem) GROUP BY norm HAVING COUNT(*) BETWEEN 2 AND 60), k AS (SELECT f.* FROM f JOIN c USING (norm))
+@query(f"""WITH f AS (SELECT DISTINCT {_FRAG} AS id, 'ФЗ-' || ({_LAW}) || ' ст.' || ({_ART}) || '/п.' || ({_ITEM}) AS norm, l_returnflag = 'R' AS neg, CAST(l_quantity AS INT) AS n FROM lineitem),
+ c AS (SELECT norm FROM (SELECT {_FRAG} AS id, 'ФЗ-' || ({_LAW}) || ' ст.' || ({_ART}) || '/п.' || ({_ITEM}) AS norm FROM lineitem) GROUP BY norm HAVING COUNT(*) BETWEEN 2 AND 60), k AS (SELECT f.* FROM f JOIN c USING (norm))
  SELECT norm, 'не-применяетс' AS axis, a.id AS a, b.id AS b FROM k a JOIN k b USING (norm) WHERE a.neg AND NOT b.neg
  UNION SELECT norm, 'срок: ' || LEAST(a.n, b.n) || ' / ' || GREATEST(a.n, b.n) || ' дн', a.id, b.id FROM k a JOIN k b USING (norm) WHERE a.id < b.id AND a.n <> b.n""")
 def norm_conflicts(spark, d):
-    return checks.contradictions(_fragments(spark, d), with_terms=True)
+    return norms.contradictions(_fragments(spark, d), with_terms=True)
 
 
 # --- counts and links
@@ -199,7 +201,7 @@ def announced_counts(spark, d):
 
     no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) + 2
     body = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), no.alias("line_no"), F.concat(F.lit("- часть "), F.col("l_partkey").cast("string")).alias("text"))
-    return checks.announced(head.unionByName(body), ["o_orderkey"])
+    return counts.announced(head.unionByName(body), ["o_orderkey"])
 
 
 @query("""SELECT 'd' || (doc_id % 50) || '/f ' || doc_id || '.md' AS file, 3 AS line_no, '../d' || ((doc_id + 7) % 50) || '/f%20' || (doc_id + 7) || '.md:12' AS href, 'd' || ((doc_id + 7) % 50) || '/f ' || (doc_id + 7) || '.md:12' AS target FROM documents WHERE doc_id + 7 NOT IN (SELECT doc_id FROM documents)""")

@@ -384,7 +384,7 @@ def upsert_priority(spark, d):
     return reconcile.upsert(t, s, "k", ["nation", "bal"], ("bal",))
 
 
-@query("""SELECT p_partkey, printf('%02d', DENSE_RANK() OVER (PARTITION BY p_type ORDER BY p_brand)) || '.' || CASE WHEN kk < 100 THEN printf('%02d', kk) ELSE substr(CAST(kk AS VARCHAR), 1, 2) END AS label
+@query("""SELECT p_partkey, printf('%02d', DENSE_RANK() OVER (PARTITION BY p_type ORDER BY p_brand)) || '.' || printf('%02d', kk) AS label
  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_type, p_brand ORDER BY p_size, p_partkey) AS kk FROM part)""")
 def catalog_numbers(spark, d):
     return reconcile.catalog_order(read(spark, d, "part"), "p_type", "p_brand", ["p_size", "p_partkey"]).select("p_partkey", "label")
@@ -405,14 +405,14 @@ def _cents(x: str) -> str:
     return f"(FLOOR(({x}) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)"
 
 
-def _tier_sql(x: str, tiers, cap: float) -> str:
-    whens = " ".join(f"WHEN {x} <= {t} THEN {f}::DOUBLE + {s}::DOUBLE * ({x} - {fl}::DOUBLE)" for t, f, s, fl in tiers if t)
-    _, f, s, fl = tiers[-1]
-    return _cents(f"LEAST(CASE {whens} ELSE {f}::DOUBLE + {s}::DOUBLE * ({x} - {fl}::DOUBLE) END, {cap}::DOUBLE)")
-
-
+#: The tariffs once more, apart from the operator's own tables.
 _P = "(o_totalprice * 50)"
-_ARB, _GEN = _tier_sql(_P, rules.ARBITRATION, rules.ARBITRATION_CAP), _tier_sql(_P, rules.GENERAL, rules.GENERAL_CAP)
+_ARB = _cents(f"""LEAST(CASE WHEN {_P} <= 100000 THEN 10000 WHEN {_P} <= 1000000 THEN 10000 + 0.05::DOUBLE * ({_P} - 100000) WHEN {_P} <= 10000000 THEN 55000 + 0.03::DOUBLE * ({_P} - 1000000)
+ WHEN {_P} <= 50000000 THEN 325000 + 0.01::DOUBLE * ({_P} - 10000000) ELSE 725000 + 0.005::DOUBLE * ({_P} - 50000000) END, 10000000::DOUBLE)""")
+_GEN = _cents(f"""LEAST(CASE WHEN {_P} <= 100000 THEN 4000 WHEN {_P} <= 300000 THEN 4000 + 0.03::DOUBLE * ({_P} - 100000) WHEN {_P} <= 500000 THEN 10000 + 0.025::DOUBLE * ({_P} - 300000)
+ WHEN {_P} <= 1000000 THEN 15000 + 0.02::DOUBLE * ({_P} - 500000) WHEN {_P} <= 3000000 THEN 25000 + 0.01::DOUBLE * ({_P} - 1000000) WHEN {_P} <= 8000000 THEN 45000 + 0.007::DOUBLE * ({_P} - 3000000)
+ WHEN {_P} <= 24000000 THEN 80000 + 0.0035::DOUBLE * ({_P} - 8000000) WHEN {_P} <= 50000000 THEN 136000 + 0.003::DOUBLE * ({_P} - 24000000) WHEN {_P} <= 100000000 THEN 214000 + 0.002::DOUBLE * ({_P} - 50000000)
+ ELSE 314000 + 0.0015::DOUBLE * ({_P} - 100000000) END, 900000::DOUBLE)""")
 
 
 def _price():
@@ -529,4 +529,4 @@ def sheet_findings(spark, d):
     return profiles.analyze(o, ["Дата", "Контрагент", "ИНН", "Сумма"], "payments", anchor=ANCHOR).select("file", "sheet", "code", "severity", "message", F.to_json("cells").alias("cells"), F.to_json("numbers").alias("numbers"))
 
 
-from . import corpus_queries, triage_queries  # noqa: E402, F401  register their queries here
+from . import address_queries, corpus_queries, triage_queries  # noqa: E402, F401  register their queries here

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """One JSON report a file, partitioned by code so a reader prunes."""
+    """Findings as JSON lines, in folders by code, so that a reader prunes."""
     findings.write.mode("overwrite").partitionBy("code").json(path)
 
 

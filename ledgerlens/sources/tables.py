@@ -286,5 +286,6 @@ def as_markdown(sheets: DataFrame, most_columns: int = 12) -> DataFrame:
     from ledgerlens.functions.scalars import markdown_escape
 
     cells = F.transform("cells", lambda c: markdown_escape(c))
-    wide = F.array_join(F.filter(F.transform(cells, lambda c, i: F.concat((i + 1).cast("string"), F.lit(": "), c)), lambda c: ~c.rlike(": $")), "; ")
+    named = F.transform(cells, lambda c, i: F.struct((i + 1).cast("string").alias("no"), c.alias("cell")))
+    wide = F.array_join(F.transform(F.filter(named, lambda x: x["cell"] != ""), lambda x: F.concat(x["no"], F.lit(": "), x["cell"])), "; ")
     return sheets.select("file", "sheet", "row_no", F.when(F.size("cells") <= most_columns, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))).otherwise(wide).alias("line"))

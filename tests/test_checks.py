@@ -7,7 +7,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import checks, reconcile
+from ledgerlens.operators import checks, counts, norms, reconcile
 
 
 def one(spark, c):
@@ -91,14 +91,14 @@ def test_polarity_of_verbs_and_modes(spark):
         "ничего": set(),
     }
     for t, want in cases.items():
-        assert {(x.axis, x.side) for x in one(spark, checks.polarity(F.lit(t)))} == want, t
+        assert {(x.axis, x.side) for x in one(spark, norms.polarity(F.lit(t)))} == want, t
 
 
 def test_terms_and_norm_keys(spark):
-    terms = lambda t: {(x.n, x.unit) for x in one(spark, checks.terms(F.lit(t)))}
+    terms = lambda t: {(x.n, x.unit) for x in one(spark, norms.terms(F.lit(t)))}
     assert terms("в течение десяти рабочих дней, затем 3 месяца и один год") == {(10, "раб.дн"), (3, "мес"), (1, "год")}
     assert terms("в 2025 году, 40 лет, пять миллионов, 45 календарных дней") == {(45, "дн")}
-    keys = lambda t: set(one(spark, checks.norm_keys(F.lit(t))))
+    keys = lambda t: set(one(spark, norms.norm_keys(F.lit(t))))
     assert keys("по п. 2 ст. 61.3 и ч. 6 ст. 225.10 АПК") >= {"ст.61.3/п.2", "АПК ст.225.10/ч.6"}
     assert keys("пункт 51, п. 5, п. 26(11), глава 28.2") == {"Пленум п.51", "Пленум п.26(11)", "глава 28.2"}
 
@@ -106,14 +106,14 @@ def test_terms_and_norm_keys(spark):
 def test_contradictions(spark):
     rows = [(1, "ст. 9 применяется в срок 5 дней"), (2, "ст. 9 не применяется в срок 7 дней"), (3, "ст. 9 применяется в срок 5 дней"), (4, "ст. 8 не применяется")] + [(100 + i, f"ст. 7 {'не ' * (i % 2)}применяется, случай {i}") for i in range(61)]
     f = spark.createDataFrame(rows, "frag_id long, text string")
-    assert {tuple(r) for r in checks.contradictions(f).collect()} == {("ст.9", "не-применяетс", 2, 1), ("ст.9", "не-применяетс", 2, 3)}
-    assert {tuple(r) for r in checks.contradictions(f, with_terms=True).where("axis like 'срок%'").collect()} == {("ст.9", "срок: 5 / 7 дн", 1, 2), ("ст.9", "срок: 5 / 7 дн", 2, 3)}
+    assert {tuple(r) for r in norms.contradictions(f).collect()} == {("ст.9", "не-применяетс", 2, 1), ("ст.9", "не-применяетс", 2, 3)}
+    assert {tuple(r) for r in norms.contradictions(f, with_terms=True).where("axis like 'срок%'").collect()} == {("ст.9", "срок: 5 / 7 дн", 1, 2), ("ст.9", "срок: 5 / 7 дн", 2, 3)}
 
 
 def test_announced_counts(spark):
     def got(lines):
         df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc long, line_no int, text string")
-        return sorted((r.line_no, r.claimed, r.listed) for r in checks.announced(df, ["doc"]).collect())
+        return sorted((r.line_no, r.claimed, r.listed) for r in counts.announced(df, ["doc"]).collect())
 
     assert got(["Есть три условия:", "", "- a", "", "- b", "  продолжение", "- c"]) == [(0, 3, 3)]
     assert got(["Есть пять кумулятивных условий", "1. a", "2. b", "- c"]) == [(0, 5, 2)]
@@ -125,6 +125,110 @@ def test_announced_counts(spark):
     assert got(["Есть двенадцать вопросов:", "а) да", "б) нет", "Есть три года"]) == [(0, 12, 2)]
 
 
+def plain_count(lines, c):
+    """The first block after line c, and its points."""
+    kinds = {k: re.compile(p.replace("(?iu)", ""), re.I if "(?iu)" in p else 0) for k, p in counts.BLOCKS.items()}
+    stop, separator, prose, i = re.compile(counts.STOP), re.compile(counts.SEPARATOR), 0, c + 1
+    while i < len(lines) and i <= c + 40:
+        x = lines[i]
+        if stop.match(x):
+            return None
+        k = next((k for k, p in kinds.items() if p.match(x)), None) if x.strip() else None
+        if k == "table":
+            j = i
+            while j < len(lines) and kinds["table"].match(lines[j]):
+                j += 1
+            return k, max(0, sum(not separator.match(y) for y in lines[i:j]) - 1)
+        if k:
+            n, blanks, last = 0, 0, i
+            for j in range(i, len(lines)):
+                y = lines[j]
+                if stop.match(y) and j > i:
+                    break
+                if kinds[k].match(y):
+                    n, last, blanks = n + 1, j, 0
+                elif not y.strip():
+                    blanks += 1
+                    if blanks > 2:
+                        break
+                else:
+                    if j - last > 1 and any(p.match(y) for o, p in kinds.items() if o not in (k, "bold leads")):
+                        break
+                    blanks = 0
+            return k, n
+        prose += bool(x.strip())
+        if prose > 8:
+            return None
+        i += 1
+    return None
+
+
+def test_blocks_of_all_kinds_equal_a_plain_reading(spark):
+    r = random.Random(12)
+    pool = ["", "", "проза", "1. а", "2) б", "**3.** в", "- г", "* д", "а) е", "(б) ж", "| з | и |", "| --- | --- |", "### 1. К", "## Л", "---", "**Первый** — м", "**Второй** н", "  продолжение"]
+    texts = {}
+    for d in range(120):
+        some = r.sample(pool, r.randint(2, 6))
+        texts[d] = [r.choice(some) if r.random() < 0.85 else r.choice(pool) for _ in range(r.randint(0, 25))]
+        texts[d][r.randint(0, len(texts[d])) : 0] = ["Есть четыре условия и ничего более"]
+    df = spark.createDataFrame([(d, i, x) for d, ls in texts.items() for i, x in enumerate(ls)], "doc long, line_no int, text string")
+    got = {(x.doc, x.line_no): (x.kind, x.listed) if x.kind else None for x in counts.counted(df, ["doc"]).collect()}
+    assert got == {(d, i): plain_count(ls, i) for d, ls in texts.items() for i, x in enumerate(ls) if x.startswith("Есть")}
+    assert {k for k in counts.BLOCKS} <= {x[0] for x in got.values() if x}
+
+
+def test_claims_that_announce_nothing_and_lists_in_a_line(spark):
+    def got(line, *more):
+        df = spark.createDataFrame([(1, i, x) for i, x in enumerate((line, *more))], "doc long, line_no int, text string")
+        return sorted((x.claimed, x.inline, x.listed, x.state) for x in counts.counted(df, ["doc"]).collect())
+
+    for line in ("по всем шести вопросам", "три сценария (§10.9)", "два случая из 96", "в редакции два случая", "оба случая", "одно условие", "40 условий", "№3 вопроса", "названные два случая", "три вопроса, см. ниже"):
+        assert got(line) == [], line
+    assert got("Нужны три условия: 1) первое из них 2) второе 3) третье") == [(3, 3, None, "agreed")]
+    assert got("Нужны три условия: первое (оно; же), «второе; его», третье; иное") == [(3, 2, None, "mismatch")]
+    assert got("Нужны два условия: коротко") == [(2, None, None, "unknown")]
+    assert got("Нужны два условия: первое здесь; второе там; третье", "- а", "- б") == [(2, 3, 2, "agreed")]
+    assert got("Есть два случая и три довода:", "- а", "- б") == [(2, None, 2, "agreed"), (3, None, 2, "mismatch")]
+    assert got("```", "Есть два случая", "- а", "```") == []
+
+
+def test_fragments_of_lines(spark):
+    lines = ["# Заголовок раздела о порядке", "По п. 5 ст. 61.2 срок не применяется. Иначе он применяется всегда, см. ч. 2 ст. 9 АПК.", "| п. 2 ст. 8 | срок применяется судом без исключений; И второе правило этой же ячейки |", "```", "ст. 5 применяется в любом случае без оговорок", "```", "коротко", "✅ ст. 5 применяется в любом случае без оговорок", "## Приложение А", "ст. 5 не применяется по строке реестра А", "### А.1. и дальше в приложении, ст. 5 применяется", "## §2 Тело", "ст. 5 применяется и в теле документа"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines, 1)], "file string, line_no int, text string")
+    got = [(r.line_no, r.pos, r.text, sorted(r.row_keys), r.in_appendix) for r in norms.fragments(df).orderBy("line_no", "pos").collect()]
+    assert got == [
+        (1, 0, "# Заголовок раздела о порядке", [], False),
+        (2, 0, "По п. 5 ст. 61.2 срок не применяется.", [], False),
+        (2, 1, "Иначе он применяется всегда, см. ч. 2 ст. 9 АПК.", [], False),
+        (3, 0, "срок применяется судом без исключений;", ["ст.8/п.2"], False),
+        (3, 1, "И второе правило этой же ячейки", ["ст.8/п.2"], False),
+        (10, 0, "ст. 5 не применяется по строке реестра А", [], True),
+        (11, 0, "### А.1. и дальше в приложении, ст. 5 применяется", [], True),
+        (13, 0, "ст. 5 применяется и в теле документа", [], False),
+    ]
+
+
+def test_keys_go_down_to_sub_items_and_up_to_articles(spark):
+    keys = lambda t, loose=False: set(one(spark, norms.norm_keys(F.lit(t), loose)))
+    assert keys("подп. 2 п. 4 ст. 61.10") == {"ст.61.10/п.4", "ст.61.10/п.4/подп.2"}
+    assert keys("подп. 2 п. 4 ст. 61.10 ФЗ-127", True) == {"ФЗ-127 ст.61.10", "ФЗ-127 ст.61.10/п.4", "ФЗ-127 ст.61.10/п.4/подп.2"}
+    assert keys("статья 1080 ГК, пункт 3 статьи 5") == {"ГК ст.1080", "ст.5/п.3"}
+    assert keys("глава III.1 и гл. 28.2.") == {"глава III.1", "глава 28.2"}
+
+
+def test_classes_of_contradictions(spark):
+    rows = [
+        ("a", "п. 5 ст. 9 применяется судом", False), ("b", "п. 5 ст. 9 не применяется судом", False), ("c", "п. 5 ст. 9 не применяется, что расходится с буквой", False),
+        ("d", "ст. 8 применяется по реестру", True), ("e", "ст. 8 не применяется по реестру", True), ("f", "статья 9 не применяется ни к чему", False), ("g", "применяется без нормы", False),
+    ]
+    f = spark.createDataFrame(rows, "frag_id string, text string, in_appendix boolean")
+    got = {(x.first, x.second): (x.norm, x.axes, x.state) for x in norms.classified(f).collect()}
+    assert got == {("a", "b"): ("ст.9/п.5", ["не-применяетс"], "apart"), ("a", "c"): ("ст.9/п.5", ["не-применяетс"], "aware"), ("d", "e"): ("ст.8", ["не-применяетс"], "registry")}
+    loose = {(x.first, x.second) for x in norms.classified(f, loose=True).collect()}
+    assert loose == {("a", "b"), ("a", "c"), ("a", "f"), ("d", "e")}
+    assert [x.frag_id for x in norms.unnamed(f).collect()] == ["g"]
+
+
 def test_links_against_files(spark):
     lines = [("a/x.md", 1, "[ok](y.md) [gone](z.md#q) [up](../../out.md) [root](../b.md) `[c](no.md)`"), ("a/x.md", 2, "```"), ("a/x.md", 3, "[f](no.md)"), ("a/x.md", 4, "```"), ("a/x.md", 5, '[sp](n%20m.md "t") [l](y.md:12-14) [d](.) [h](http://e) [m](#k) [bad](q.md:3)')]
     df = spark.createDataFrame(lines, "file string, line_no int, text string")

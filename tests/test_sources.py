@@ -51,7 +51,23 @@ def test_html():
 
 
 def test_split_top_level(spark):
-    assert spark.range(1).select(text.split_top_level(F.lit("а (б; в); г «д; е»; ж")).alias("x")).first().x == 3
+    def plain(said):
+        depth, quoted, out = 0, False, [""]
+        for c in said:
+            depth += (c == "(") - (c == ")" and depth > 0)
+            quoted = c == "«" or (quoted and c != "»")
+            if c == ";" and not depth and not quoted:
+                out.append("")
+            else:
+                out[-1] += c
+        return [x.strip() for x in out if x.strip()]
+
+    import random
+
+    r = random.Random(1)
+    said = ["а (б; в); г «д; е»; ж", "а (б (в; г); д; е); ж", ");а;(", "", ";;", "«а; (б»; в); г"] + ["".join(r.choices("аб ;()«»", k=r.randint(0, 25))) for _ in range(200)]
+    got = spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", text.split_top_level(F.col("t")).alias("x")).collect()
+    assert {x.i: x.x for x in got} == {i: plain(t) for i, t in enumerate(said)}
 
 
 def test_replace_keeps_five_copies(spark, tmp_path):
