@@ -15,7 +15,9 @@
    resembles, so that part of an item copied alone is found.
 
 Documents are read twice and never shuffled. The latent model is sent to executors for at most
-``slice_items`` items at a time; a larger benchmark is worked through in slices.
+``slice_items`` items and about ``slice_chars`` characters of them at a time; a larger benchmark is worked through in
+slices, each with its own latent space. What is sent grows with the words of the slice's passages, each kept as the sorted list of
+its terms; cosines are taken against ``PASSAGES`` passages at a time.
 
 Defined cases: null or empty texts and items leak nothing; null ids are reported as null; repeated rows
 are reported row by row; items of fewer than ``LEAST_WORDS`` words must be covered whole; an empty
@@ -38,6 +40,7 @@ from .shingles import in_batches, word_hashes
 
 WINDOW, HALF, LEAST_WORDS = 32, 16, 8
 PASSAGE_COVER = 0.85
+PASSAGES = 4_096
 OUTPUT = "doc_id long, item_id long, cosine double, shared int, item_words int, coverage double, answer boolean, start_word int"
 _SIGNS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -192,16 +195,14 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
             passages.append((w @ space[t]).astype(np.float32))
             owner.append(i)
             weight.append(w @ w)
-            flags = np.zeros(len(vocabulary) + 1, bool)
-            flags[t] = True
-            held.append(np.packbits(flags, bitorder="little"))
+            held.append((len(held) * (len(vocabulary) + 1) + t).astype(np.int64))
     if not passages:
         return spark.createDataFrame([], OUTPUT)
     p = np.stack(passages)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     square, enough = np.append(idf * idf, 0), (1 - 1e-9) * share * np.array(weight)
     answers = [len(words([_SENTENCE.split(r.text.strip())[-1]])[0]) if r.text else 0 for r in rows]
-    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, np.stack(held), np.array(owner), ranges, [r.item_id for r in rows], item_words, answers))
+    model = spark.sparkContext.broadcast((vocabulary, fold, square, enough, p, np.concatenate(held), np.array(owner), ranges, [r.item_id for r in rows], item_words, answers))
 
     def make():
         vocabulary, fold, square, enough, p, held, owner, ranges, ids, item_words, answers = model.value
@@ -233,7 +234,8 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
             out = np.zeros(len(w), bool)
             for a in range(0, len(w), 20_000):
                 u, q = t[w[a : a + 20_000]], k[a : a + 20_000]
-                both = (held[q[:, None], u >> 3] >> (u & 7).astype(np.uint8)) & 1
+                key = q[:, None] * np.int64(len(vocabulary) + 1) + u
+                both = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
                 out[a : a + 20_000] = (both * square[u]).sum(1) >= enough[q]
             return out
 
@@ -273,19 +275,23 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
                 vector = latent[place[windows]]
                 two = pair[windows]
                 vector[two] += latent[place[windows[two] + 1]]
-                s = vector @ p.T
-                s /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
+                vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
                 best: dict = {}
-                near, passage = np.nonzero(s >= cosine)
+                near, passage, cosines = [], [], []
+                for a in range(0, len(p), PASSAGES):
+                    s = vector @ p[a : a + PASSAGES].T
+                    w, k = np.nonzero(s >= cosine)
+                    near, passage, cosines = [*near, w], [*passage, k + a], [*cosines, s[w, k]]
+                near, passage, cosines = np.concatenate(near), np.concatenate(passage), np.concatenate(cosines)
                 begin = first[doc[windows]] + (windows - base[doc[windows]]) * HALF
                 keep = holding(v, begin, (first + n)[doc[windows]], near, passage)
-                for w, k in zip(near[keep].tolist(), passage[keep].tolist()):
+                for w, k, c_ in zip(near[keep].tolist(), passage[keep].tolist(), cosines[keep].tolist()):
                     c = int(windows[w])
                     d, i = int(doc[c]), int(owner[k])
                     start = (c - int(base[d])) * HALF
                     got = check(i, k, h[first[d] : first[d] + n[d]], start)
                     if got and got > best.get((d, i), ((),))[0]:
-                        best[(d, i)] = (got, float(s[w, k]), start)
+                        best[(d, i)] = (got, c_, start)
                 out += [(doc_ids[x + d], ids[i], c, g[0], g[1], g[2], g[3], at_) for (d, i), (g, c, at_) in sorted(best.items())]
             return list(zip(*out)) if out else None
 
@@ -294,12 +300,13 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), OUTPUT, make)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.25, cover: float = 0.6, loose: float = 0.45, slice_items: int = 4_096) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.25, cover: float = 0.6, loose: float = 0.45, slice_items: int = 4_096, slice_chars: int = 4_000_000) -> DataFrame:
     """OUTPUT: a row for each row of documents and item that leaks into it."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length(F.trim("text")) > 0)
-    slices = max(1, -(-items.count() // slice_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    slices = max(1, -(-size.n // slice_items), -(-size.chars // slice_chars))
     out = None
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else items

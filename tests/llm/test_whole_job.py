@@ -20,6 +20,33 @@ def test_every_verbatim_item_is_found_with_many_more_passages_than_dimensions(sp
     assert {(x.doc_id, x.item_id) for x in got.where("coverage = 1").collect()} == {(i, i) for i, _ in items}
 
 
+def test_leaks_do_not_depend_on_slices_or_blocks(spark, monkeypatch):
+    r = random.Random(18)
+    vocabulary = ["".join(r.choices(LETTERS, k=r.randint(2, 8))) for _ in range(1500)]
+    said = lambda n: " ".join(r.choices(vocabulary, k=n))
+    items = [(i, said(r.randint(20, 60))) for i in range(90)]
+    changed = lambda t, k: " ".join(r.choice(vocabulary) if j % k == k - 1 else w for j, w in enumerate(t.split()))
+    docs = [(i, f"{said(20)} {changed(t, 6) if i % 2 else t} {said(30)}") for i, t in items] + [(500 + i, said(100)) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **how: {(x.doc_id, x.item_id, x.shared) for x in latent_leaks.find_leaks(d, b, **how).collect()}
+    whole = found()
+    assert {x[:2] for x in whole} == {(i, i) for i, _ in items}
+    assert found(slice_items=20) == whole and found(slice_chars=4_000) == whole
+    monkeypatch.setattr(latent_leaks, "PASSAGES", 7)
+    assert found() == whole
+
+
+def test_a_paraphrase_is_found_by_its_answer(spark):
+    r = random.Random(19)
+    vocabulary = ["".join(r.choices(LETTERS, k=r.randint(3, 8))) for _ in range(800)]
+    question, answer = r.sample(vocabulary, 26), r.sample(vocabulary, 6)
+    item = " ".join(question) + ". " + " ".join(answer) + "."
+    half = [w if j % 2 else r.choice(vocabulary) for j, w in enumerate(question)]  # half of the question's words are others
+    docs = [(1, " ".join(half) + ". " + " ".join(answer)), (2, " ".join(half) + ". " + " ".join(r.sample(vocabulary, 6)))] + [(10 + i, " ".join(r.choices(vocabulary, k=60))) for i in range(200)]
+    got = latent_leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.answer) for x in got] == [(1, True)] and got[0].coverage < 0.6
+
+
 def channel(*more):
     counts = np.zeros((27, 27, 27))
     ordinary = "such a loser you are a moron and an idiot is not very stupid he said that they were all here with the other people of this house " * 20
