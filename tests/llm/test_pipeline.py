@@ -46,3 +46,28 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 1, name
         assert stage(spark, docs.limit(0), str(tmp_path)).select(F.count("*")).first()[0] == 0, name
+
+
+def test_odd_rows_go_through_the_whole_pipeline(spark, tmp_path):
+    item, long = prose(40), prose(9000)
+    rows = [(i, prose(60)) for i in range(60)]
+    rows = [(i, t + " idiot moron" if i % 5 == 1 else t) for i, t in rows]
+    odd = [(100, None), (101, ""), (102, " \n"), (None, prose(30)), (None, None), (103, rows[0][1]), (103, rows[0][1]), (104, long), (105, long + " end"), (106, long + " " + item), (107, "é" * 4000), (107, None)]
+    sf = str(tmp_path)
+    table = [(i, t, None if i is None else "en", None, len(t) if t else None, "x", 7) for i, t in rows + odd]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, words string, c1 int").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(60)] + [(None, 1, 1), (100, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None), (2, ""), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes, name
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in corpus_pipeline.run(spark, sf).collect())
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    count = lambda t: len(enc.encode_ordinary(t or ""))
+    # toxic ones go; of copies the least id stays (103 is a copy of 0, 105 one of 104); 106 leaks
+    want = [(False, i, count(t)) for i, t in rows if i % 5 != 1]
+    want += [(False, i, count(t)) for i, t in odd if i in (100, 101, 102, 104)] + [(True, 0, count(t)) for i, t in odd if i is None]
+    one = [x for x in got if x[1] == 107]
+    assert len(one) == 1 and one[0][2] in (0, count("é" * 4000))  # rows of one id are one document
+    assert [x for x in got if x[1] != 107] == sorted(want)
