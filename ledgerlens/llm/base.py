@@ -22,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: What an Arrow batch may hold, in the JVM and in Python: texts are of any length, so bytes bound a batch and not rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -127,7 +127,7 @@ def learnable(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % FOLDS != 0
 
 
-def slices(b: pa.RecordBatch, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes, so that what Python holds of it at once stays small."""
     rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
     for a in range(0, b.num_rows, rows):

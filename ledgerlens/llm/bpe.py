@@ -16,7 +16,8 @@ of each block make a disagreement an error rather than a wrong result.
 Decoding joins ids to the token-byte table (bounded by the vocabulary, so each worker holds it).
 
 Defined cases: null text is empty and has no ids; each row is encoded, repeated ids too; null doc_id
-is kept; an empty table gives no rows; further columns are ignored.
+is kept; a very long text makes a block of its own and is worked through whole; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -96,15 +97,17 @@ def _check(words) -> int:
     return zlib.crc32("\0".join(words).encode())
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 12_000_000) -> DataFrame:
-    """(doc_id long, ids array<int>) for each row of documents."""
+def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 12_000_000, then: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
+    """(doc_id long, ids array<int>) for each row of documents. `then`, a schema and a factory as map_batches() takes them, is
+    applied to these rows where they are put together, so that a task needs one Python worker for both."""
     ship(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     word_type = T.StructType.fromDDL("block long, word_no int, word string")
     coded_type = T.StructType.fromDDL("block long, crc long, nos binary, lens binary, ids binary")
     pos_type = T.StructType.fromDDL("block long, n_words int, crc long, doc_ids array<long>, counts array<int>, positions binary")
-    out_type = T.StructType.fromDDL("doc_id long, ids array<int>")
-    word_arrow, coded_arrow, pos_arrow, out_arrow = map(to_arrow_schema, (word_type, coded_type, pos_type, out_type))
+    ids_type = T.StructType.fromDDL("doc_id long, ids array<int>")
+    out_type = T.StructType.fromDDL(then[0]) if then else ids_type
+    word_arrow, coded_arrow, pos_arrow, ids_arrow, out_arrow = map(to_arrow_schema, (word_type, coded_type, pos_type, ids_type, out_type))
 
     def distinct_words(batches):
         for block, words, _ in _blocks(batches, block_chars):
@@ -169,6 +172,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 12_000_000) -
                     data.append(_unpack(ids))
         no, n, data = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nos, lens, data))
         begin = np.cumsum(n) - n
+        finish = then[1]() if then else None
         order = np.argsort(no, kind="stable")
         n, begin = n[order], begin[order]
         out = []
@@ -182,7 +186,10 @@ def bpe_encode(docs: DataFrame, rank_file: str, block_chars: int = 12_000_000) -
                 at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[pos] - (upto - size), size)
                 ids = data[at].astype(np.int32)
                 ends = np.concatenate(([0], upto))[np.cumsum([0, *counts])]
-                out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)).cast(out_arrow.field("ids").type)], schema=out_arrow))
+                rows = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)).cast(ids_arrow.field("ids").type)], schema=ids_arrow)
+                if finish:
+                    rows = pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(finish(rows), out_arrow)], schema=out_arrow)
+                out.append(rows)
         return pa.Table.from_batches(out, schema=out_arrow)
 
     coded = src.mapInArrow(distinct_words, word_type).repartition("word").sortWithinPartitions("word").mapInArrow(encode, coded_type)
@@ -209,12 +216,19 @@ def bpe_decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, bytes binary", make)
 
 
-def bpe_digests(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what each row was encoded to, and what its ids decode to."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+@lru_cache(maxsize=4)
+def _numerals(path: str) -> dict[int, str]:
+    return {i: str(i) for i in token_bytes(path)}
+
+
+def _digests(rank_file: str) -> Callable[[], Callable]:
+    """A factory for map_batches(): digests of the ids of (doc_id, ids) and of the bytes that they decode to."""
 
     def make():
-        table = token_bytes(rank_file)
-        text, raw = {i: str(i) for i in table}.__getitem__, table.__getitem__
+        text, raw = _numerals(rank_file).__getitem__, token_bytes(rank_file).__getitem__
         sha = hashlib.sha256
 
         def f(b):
@@ -229,4 +243,14 @@ def bpe_digests(encoded: DataFrame, rank_file: str) -> DataFrame:
 
         return f
 
-    return map_batches(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return make
+
+
+def bpe_digests(encoded: DataFrame, rank_file: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what each row was encoded to, and what its ids decode to."""
+    return map_batches(encoded.select("doc_id", "ids"), DIGESTS, _digests(rank_file))
+
+
+def bpe_round_trip(docs: DataFrame, rank_file: str) -> DataFrame:
+    """bpe_digests() of bpe_encode(), decoded where the ids are put together."""
+    return bpe_encode(docs, rank_file, then=(DIGESTS, _digests(rank_file)))

@@ -64,11 +64,11 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray
         df = np.zeros(size + 1, np.int64)
         for b in (x for whole in batches for x in slices(whole)):
             texts = b.column(0).to_pylist()
-            for x, y in in_batches(texts, 1_000_000):
+            for x, y in in_batches(texts):
                 h, of = words(texts[x:y])
                 v = _in(vocabulary, h)
                 of, v = of[v >= 0], v[v >= 0]
-                if (y - x) * size < 30_000_000:
+                if (y - x) * size < 8_000_000:
                     flags = np.zeros((y - x, size), bool)
                     flags[of, v] = True
                     df[:size] += flags.sum(0)
@@ -242,7 +242,7 @@ def _slice_leaks(docs: DataFrame, items: DataFrame, vocabulary: np.ndarray, idf:
         def f(b):
             out = []
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for x, y in in_batches(texts, 500_000):
+            for x, y in in_batches(texts):
                 h, of = words(texts[x:y])
                 n = np.bincount(of, minlength=y - x)
                 first = np.cumsum(n) - n

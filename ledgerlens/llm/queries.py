@@ -55,8 +55,7 @@ def op9_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe_digests(bpe.bpe_encode(read(spark, sf_dir, "documents"), ranks), ranks)
+    return bpe.bpe_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

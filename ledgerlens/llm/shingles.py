@@ -14,6 +14,7 @@ _WORD = _r.integers(1, 2**63, 8, np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
+PIECE = 250_000  # characters of texts looked at together
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,9 +27,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         out = []
         for base in (_STEP, _BACK):
-            a = np.full(max(n, 1 << 16), base, np.uint64)
+            a = np.full(max(n, PIECE + (1 << 16)), base, np.uint64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
+        if n > 4 * PIECE:
+            return out[0], out[1]  # of a very long text; not kept
         _POWERS[:] = out
     return _POWERS[0], _POWERS[1]
 
@@ -57,7 +60,7 @@ def shingle_sets(texts: list[str], width: int = 4) -> list[np.ndarray]:
     for i, t in enumerate(texts):
         group.append((t or "").encode())
         size += len(group[-1])
-        if i == len(texts) - 1 or size > 1_000_000:
+        if i == len(texts) - 1 or size > PIECE:
             h, of = word_hashes(group)
             n = np.bincount(of, minlength=len(group))
             first = np.cumsum(n) - n
@@ -78,7 +81,7 @@ def shingle_sets(texts: list[str], width: int = 4) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def in_batches(texts: list[str], chars: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters."""
     a = size = 0
     for i, t in enumerate(texts):
