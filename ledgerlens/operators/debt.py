@@ -94,6 +94,30 @@ def totals(rows: DataFrame, total_rows: DataFrame, keys: list[str], which: str =
     return s.join(stated, keys, "left").withColumn("delta", F.round(F.col("stated") - F.col("rows_sum"), 2))
 
 
+def checksums(rows: DataFrame, keys: list[str], levels: int = 2, tolerance: float = 0.005) -> DataFrame:
+    """(keys, row_no, level, stated, units, below, state): a document's stated sums against its breakdown, level by level.
+    rows: (keys, row_no, level, amount); level 0 are the units, and a row of a higher level states the sum of what stands since
+    the last row of its level or a higher one. units is the sum of these units, below that of the sums stated one level
+    lower (null where there are none). The state is agreed, units (the units do not add up to it), or below (the units do,
+    the sums stated below do not, so one of these is wrong). Both figures are kept as they stand; nothing is smoothed."""
+    w = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    money = F.col("amount").cast("decimal(18,2)")
+    out = None
+    for level in range(1, levels + 1):
+        part = rows.where(F.col("level") <= level).withColumn("_g", F.coalesce(F.sum((F.col("level") == level).cast("int")).over(w), F.lit(0)))
+        if level < levels:  # what a higher level ends, ends lower ones as well
+            part = rows.withColumn("_g", F.coalesce(F.sum((F.col("level") >= level).cast("int")).over(w), F.lit(0))).where(F.col("level") <= level)
+        g = part.groupBy(*keys, "_g").agg(
+            F.sum(F.when(F.col("level") == 0, money)).alias("units"), F.sum(F.when(F.col("level") == level - 1, money)).alias("below") if level > 1 else F.lit(None).cast("decimal(28,2)").alias("below"),
+            F.max(F.when(F.col("level") == level, F.struct("row_no", money.alias("stated")))).alias("s"),
+        )
+        one = g.where("s is not null").select(*keys, F.col("s.row_no").alias("row_no"), F.lit(level).alias("level"), F.col("s.stated").alias("stated"), F.coalesce("units", F.lit(0).cast("decimal(28,2)")).alias("units"), "below")
+        out = one if out is None else out.unionByName(one)
+    off = lambda a: F.abs(F.col("stated") - F.col(a)) > tolerance
+    state = F.when(off("units"), "units").when(F.col("below").isNotNull() & off("below"), "below").otherwise("agreed")
+    return out.select(*keys, "row_no", "level", *[F.col(c).cast("double").alias(c) for c in ("stated", "units", "below")], state.alias("state"))
+
+
 def split_by_rates(intervals: DataFrame, rates: DataFrame) -> DataFrame:
     """Each interval (date_from, date_to) cut at the rate changes inside it; rates(valid_from, valid_to, rate)
     is a published table of bounded length and is broadcast."""

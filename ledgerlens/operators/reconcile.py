@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .samples import first_of
+
 
 def reconcile(disk: DataFrame, index: DataFrame, key: str, value: str) -> DataFrame:
     """One full outer join on the key: new, orphan, stale (the value differs) or same."""
@@ -26,6 +28,14 @@ def duplicate_groups(docs: DataFrame, key, id_: str) -> DataFrame:
     return docs.select(F.col(id_).alias("id"), key.alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
 
 
+def duplicate_lists(docs: DataFrame, key, id_: str, k: int = 50) -> DataFrame:
+    """Groups of equal keys as one record each: the first id, how many copies there are, and the first k of these in order."""
+    d = docs.select(F.col(id_).alias("id"), key.alias("key")).where("key is not null")
+    groups = duplicate_groups(docs, key, id_).select("key", "n", "first_id")
+    copies = d.join(groups.select("key", "first_id"), "key").where("id <> first_id")
+    return groups.join(first_of(copies, ["key"], ["id"], k, F.col("id"), "duplicates"), "key", "left")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list, keep: int = 1) -> DataFrame:
     """The newest `keep` rows of each key; the row number's limit is pushed below the shuffle."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= keep)

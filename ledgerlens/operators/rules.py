@@ -94,6 +94,16 @@ def cost_share(fee: Column, granted: Column, claimed: Column) -> Column:
     return cents(fee * F.try_divide(granted, claimed))
 
 
+def fee_awarded(paid: Column, due: Column, granted: Column, claimed: Column, separate: Column) -> dict[str, Column]:
+    """What a judgment says of the fee: due is halved in separate disputes; the granted share of it is awarded, the rest stays
+    with the claimant, and what was paid above it goes back from the budget. Null where nothing was claimed."""
+    own = F.when(separate, cents(due * 0.5)).otherwise(cents(due))
+    part = F.try_divide(granted, claimed)
+    share = F.when(part > 1, F.lit(1.0)).otherwise(part)
+    awarded = cents(own * share)
+    return {"due": own, "awarded": awarded, "borne": cents(own - awarded), "refund": cents(F.greatest(paid - own, F.lit(0.0)))}
+
+
 def delivered(returned: Column, proper_address: Column) -> Column:
     """Return by expiry counts only for a properly grounded address: true, false or unknown (null)."""
     return F.when(~returned, F.lit(True)).when(proper_address.isNull(), F.lit(None).cast("boolean")).otherwise(proper_address)

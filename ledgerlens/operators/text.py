@@ -74,5 +74,21 @@ def split_top_level(text: Column, at: str = ";") -> Column:
     return F.filter(F.transform(F.aggregate(pieces, start, step, lambda s: s["parts"]), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: The container of links to a document's further pages.
+PAGES = r"(?s)<div[^>]*class=\"[^\"]*\bpages\b[^\"]*\"(.*?)</div>"
+
+
+def pagination_links(html: Column, base: Column) -> Column:
+    """Links in a page's pagination container, resolved against its address, each once and in order; none without a container."""
+    origin, path = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1), F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(path.rlike(r"^\w+://[^/]+$"), F.concat(path, F.lit("/"))).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+
+    def full(h: Column) -> Column:
+        out = F.when(h.contains("://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, r"^(\w+:)", 1), h)).when(h.startswith("/"), F.concat(origin, h))
+        return out.when(h.startswith("?"), F.concat(path, h)).when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h)).otherwise(F.concat(folder, F.regexp_replace(h, r"^(?:\./)+", "")))
+
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_extract(html, PAGES, 1), F.lit('href="([^"]+)"'), 1), full))
+
+
 def hrefs(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]+)"'), 1))

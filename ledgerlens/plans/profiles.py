@@ -230,18 +230,28 @@ def registry_findings(sheets: DataFrame, columns: dict[str, int], our: str | Non
     return out
 
 
-def analyze(sheets: DataFrame, header: list[str], profile: str, anchor: str | None = None, our: str | None = None) -> DataFrame:
-    """Findings of a profile over all sheets that share a header."""
+def bound(sheets: DataFrame, header: list[str], profile: str) -> dict[str, int]:
+    """bind(), with columns of dates told from the values where no header names them."""
     columns = bind(header, profile)
     if profile == "debt" and not {"date_from", "date_to"} <= columns.keys():
         dated = [i for i in date_columns(sheets, len(header), False)]
         columns |= {r: i for r, i in zip(("date_from", "date_to"), dated) if r not in columns}
     elif profile in ("statement", "payments") and "date" not in columns and (dated := date_columns(sheets, len(header), True)):
         columns["date"] = dated[0]
+    return columns
+
+
+def is_principal(header: list[str], columns: dict[str, int]) -> bool:
+    """Whether the amounts of a registry are principal debts, without penalties."""
+    head = S.norm_header(header[columns["amount"]]) if "amount" in columns else ""
+    return "основн" in head or "тело" in head or ("долг" in head and "требован" not in head.split("долг", 1)[1])
+
+
+def analyze(sheets: DataFrame, header: list[str], profile: str, anchor: str | None = None, our: str | None = None) -> DataFrame:
+    """Findings of a profile over all sheets that share a header."""
+    columns = bound(sheets, header, profile)
     if profile == "registry":
-        head = S.norm_header(header[columns["amount"]]) if "amount" in columns else ""
-        principal = "основн" in head or "тело" in head or ("долг" in head and "требован" not in head.split("долг", 1)[1])
-        parts = registry_findings(sheets, columns, our, principal)
+        parts = registry_findings(sheets, columns, our, is_principal(header, columns))
     else:
         run: dict[str, Callable] = {"debt": debt_findings, "statement": statement_findings, "payments": lambda s, c: payments_findings(s, c, anchor)}
         parts = run[profile](sheets, columns)

@@ -30,6 +30,15 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.select("file", "text").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
 
 
+def front_matter(fields: dict[str, Column], kinds: dict[str, str], body: Column) -> Column:
+    """A mirror file: its fields between rules as YAML, and the text below. kinds: text (quoted, with quotes and backslashes
+    escaped), list (quoted texts in brackets), or plain (numbers, dates, true and false as they are). Null is null."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    form = {"text": quoted, "list": lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ", "), F.lit("]")), "plain": lambda c: c.cast("string")}
+    rows = [F.concat(F.lit(f"{name}: "), F.coalesce(form[kinds.get(name, "plain")](c), F.lit("null"))) for name, c in fields.items()]
+    return F.concat(F.concat_ws("\n", F.lit("---"), *rows, F.lit("---")), F.lit("\n\n"), F.coalesce(body, F.lit("")), F.lit("\n"))
+
+
 def with_provenance(texts: DataFrame, mark: str = "## Примечания") -> DataFrame:
     """(file, text): corpus texts below a header of where they come from, with the notes (if any) at the end, behind a mark.
     texts: (file, source_url, fetched, reason, body, notes)."""

@@ -243,3 +243,38 @@ def test_small_rules(spark):
     assert [one(spark, checks.is_numeric_cell(F.lit(x))) for x in ("1 200,50", "(5)", "12 %", "5 руб.", "п. 5", "")] == [True, True, True, True, False, False]
     assert one(spark, checks.is_total_cell(F.array(F.lit("x"), F.lit(" ИТОГО")))) and not one(spark, checks.is_total_cell(F.array(F.lit("Итого по делу"))))
     assert one(spark, reconcile.appended_once(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))) == [1, 2, 3]
+
+
+def test_package_numbers_above_99_keep_their_digits(spark):
+    df = spark.range(130).selectExpr("'g' AS g", "if(id < 128, 'b', concat('c', id)) AS b", "id")
+    got = [r.label for r in reconcile.catalog_order(df, "g", "b", ["id"]).orderBy("id").collect()]
+    assert len(set(got)) == 130 and got[8:10] == ["01.09", "01.10"] and got[98:101] == ["01.99", "01.100", "01.101"] and got[127:] == ["01.128", "02.01", "03.01"]
+
+
+def test_checksums_name_the_level_that_is_wrong(spark):
+    from ledgerlens.operators import debt
+
+    rows = [("a", 1, 0, 10), ("a", 2, 0, 5), ("a", 3, 1, 15), ("a", 4, 0, 7), ("a", 5, 1, 8), ("a", 6, 2, 22), ("a", 7, 0, 3), ("a", 8, 1, 3), ("a", 9, 2, 4), ("b", 1, 0, 2), ("b", 2, 2, 2), ("c", 1, 1, 5)]
+    df = spark.createDataFrame(rows, "doc string, row_no int, level int, amount int")
+    got = {(r.doc, r.row_no): (r.level, r.stated, r.units, r.below, r.state) for r in debt.checksums(df, ["doc"]).collect()}
+    assert got == {
+        ("a", 3): (1, 15, 15, None, "agreed"), ("a", 5): (1, 8, 7, None, "units"), ("a", 6): (2, 22, 22, 23, "below"), ("a", 8): (1, 3, 3, None, "agreed"), ("a", 9): (2, 4, 3, 3, "units"),
+        ("b", 2): (2, 2, 2, None, "agreed"), ("c", 1): (1, 5, 0, None, "units"),
+    }
+
+
+def test_ranges_in_blocks_are_joined_at_their_borders(spark):
+    from ledgerlens.operators import text
+
+    r = random.Random(4)
+    numbers = sorted({r.randint(-60, 200) for _ in range(180)} | set(range(15, 41)) | {-17, -16, -9, -8})
+    want, last = [], None
+    for n in numbers:
+        if last is not None and n == last + 1:
+            want[-1] = (want[-1][0], n)
+        else:
+            want.append((n, n))
+        last = n
+    df = spark.createDataFrame([("k", n) for n in numbers], "k string, n long")
+    for block in (8, 64, 1000):
+        assert sorted((x.first, x.last) for x in text.fold_ranges(df, ["k"], block=block).collect()) == want

@@ -34,6 +34,8 @@ def test_tables(spark, tmp_path):
     d = {r.file: r for r in tables.digest(t.where("error is null")).collect()}
     assert d["a.xlsx"].header_row == 3 and d["a.xlsx"].stale_formulas == 1 and d["a.xlsx"].totals[0].row_no == 5
     assert tables.as_markdown(t.where("file = 'b.csv' and row_no = 2")).first().line == "| 01.02.2026 | 1,5 |"
+    wide = spark.createDataFrame([("f", "s", 1, ["a", "Note: ", None, "", "x|y"] + ["z"] * 8)], "file string, sheet string, row_no int, cells array<string>")
+    assert tables.as_markdown(wide).first().line == "1: a; 2: Note: ; 5: x\\|y; " + "; ".join(f"{i}: z" for i in range(6, 14))
 
 
 def test_documents(spark, tmp_path):
