@@ -101,6 +101,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def lean() -> None:
+    """At the beginning of a task: Arrow takes memory from the system's allocator, so that what it frees can be given back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
     """At the end of a task: what Python and Arrow have freed goes back to the system, as workers live on."""
     pa.default_memory_pool().release_unused()
@@ -142,7 +147,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable]) -> Dat
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # what this one frees, give_back() can give back
+        lean()
         f = make()
         try:
             for whole in batches:

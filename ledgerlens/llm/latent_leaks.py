@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import give_back, map_batches, ship, slices, without_ids
+from .base import give_back, lean, map_batches, ship, slices, without_ids
 from .scratch import Scratch
 from .shingles import in_batches, word_hashes
 
@@ -61,6 +61,7 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray
     size = len(vocabulary)
 
     def run(batches):
+        lean()
         df = np.zeros(size + 1, np.int64)
         for b in (x for whole in batches for x in slices(whole)):
             texts = b.column(0).to_pylist()
@@ -77,6 +78,7 @@ def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray
             df[size] += len(texts)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["k", "n"])
+        give_back()
 
     got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(size + 1, np.int64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import give_back, map_batches, map_rows, ship, slices
+from .base import give_back, lean, map_batches, map_rows, ship, slices
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -183,8 +183,9 @@ def fit(docs: DataFrame, words: int = 2_000) -> tuple[list[Chains], Chains, floa
     ship(docs.sparkSession)
 
     def run(batches):
+        lean()
         total, least = np.zeros(27**3, np.int64), set()
-        for b in (x for whole in batches for x in slices(whole, 1_000_000)):
+        for b in (x for whole in batches for x in slices(whole, 250_000)):
             texts = [t.encode() for t in b.column(0).to_pylist() if t]
             if not texts:
                 continue

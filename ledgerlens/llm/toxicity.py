@@ -29,7 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out, map_batches, map_rows, slices, text_sample
+from .base import give_back, held_out, lean, map_batches, map_rows, slices, text_sample
+from .shingles import in_batches
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h", "*": "aeiou", "%": "aeiou"}
@@ -57,14 +58,16 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
+        lean()
         total = np.zeros(_A**3, np.int64)
         for b in (x for whole in batches for x in slices(whole)):
             texts = [t or "" for t in b.column(0).to_pylist()]
-            for i in range(0, len(texts), 500):
-                c = _codes(" " + " ".join(texts[i : i + 500]) + "  ")
+            for a, z in in_batches(texts):
+                c = _codes(" " + " ".join(texts[a:z]) + "  ")
                 total += np.bincount(c[:-2] * (_A * _A) + c[1:-1] * _A + c[2:], minlength=_A**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["k", "n"])
+        give_back()
 
     got = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(_A**3)
