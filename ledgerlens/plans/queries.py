@@ -522,10 +522,11 @@ def delta_refresh(spark, d):
 
 @query()
 def sheet_findings(spark, d):
-    """Findings of the payments profile over orders laid out as one sheet a priority."""
+    """Findings of the payments profile over orders laid out as one sheet a priority and customer group, so that sheets grow in
+    number with the customers."""
     from . import profiles
 
-    o = read(spark, d, "orders").select(F.lit("orders.xlsx").alias("file"), F.col("o_orderpriority").alias("sheet"), (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.format_string("77%08d", F.col("o_custkey") % 900), F.format_string("%.2f", "o_totalprice")).alias("cells"))
+    o = read(spark, d, "orders").select(F.lit("orders.xlsx").alias("file"), F.concat_ws("/", "o_orderpriority", F.floor(F.col("o_custkey") / 100).cast("string")).alias("sheet"), (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.format_string("77%08d", F.col("o_custkey") % 900), F.format_string("%.2f", "o_totalprice")).alias("cells"))
     return profiles.analyze(o, ["Дата", "Контрагент", "ИНН", "Сумма"], "payments", anchor=ANCHOR).select("file", "sheet", "code", "severity", "message", F.to_json("cells").alias("cells"), F.to_json("numbers").alias("numbers"))
 
 
